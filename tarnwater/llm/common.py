@@ -75,6 +75,16 @@ def row_map(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str
     ``make`` is called once in each task and returns the function, which may
     hold a model or a cache.  ``schema`` describes what the function returns.
     """
+
+    def make_many():
+        function = make()
+        return lambda *columns: [function(*row) for row in zip(*columns, strict=True)]
+
+    return batch_map(df, make_many, schema, keep, args)
+
+
+def batch_map(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], schema: str, keep: list[str], args: list[str]) -> DataFrame:
+    """As :func:`row_map`, with a function from lists of values to a list of rows."""
     spark = df.sparkSession
     small_batches(spark)
     source = df.select(*keep, *(a for a in args if a not in keep))
@@ -84,7 +94,7 @@ def row_map(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            rows = [function(*row) for row in zip(*(batch.column(a).to_pylist() for a in args), strict=True)]
+            rows = function(*(batch.column(a).to_pylist() for a in args))
             columns = list(zip(*rows, strict=True)) or [()] * len(added)
             arrays = [batch.column(c) for c in keep] + [pa.array(list(v), type=f.type) for v, f in zip(columns, added, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added.names])
