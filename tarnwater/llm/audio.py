@@ -166,7 +166,7 @@ def clips(docs: DataFrame, keep: list[str]) -> DataFrame:
         return many
 
     schema = "media binary, tensors array<struct<start: double, end: double, `values`: array<float>>>, segments array<struct<start: double, end: double>>"
-    return batch_map(docs.select("*", text_bytes().alias("_raw")), make, schema, keep, ["_raw"])
+    return batch_map(docs.select("*", text_bytes().alias("_tarnwater_raw")), make, schema, keep, ["_tarnwater_raw"])
 
 
 def digest(raw: bytes) -> tuple:

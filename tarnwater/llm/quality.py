@@ -124,7 +124,7 @@ def scores(docs: DataFrame, ranker: Ranker, keep: list[str]) -> DataFrame:
 
         return many
 
-    return batch_map(docs.select("*", text_bytes().alias("_raw")), make, "score double, predicted int", keep, ["_raw"])
+    return batch_map(docs.select("*", text_bytes().alias("_tarnwater_raw")), make, "score double, predicted int", keep, ["_tarnwater_raw"])
 
 
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

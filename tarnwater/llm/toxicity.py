@@ -324,9 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, fold, sample: tuple[int, int] = (N
 def scores(docs: DataFrame, network: Network, keep: list[str]) -> DataFrame:
     """``keep``, score and predicted of each row."""
     return batch_map(
-        docs.select("*", text_bytes().alias("_raw")),
+        docs.select("*", text_bytes().alias("_tarnwater_raw")),
         lambda: lambda raws: [(float(s), int(s >= 0.5)) for s in (network.scores(raws) if raws else [])],
-        "score double, predicted int", keep, ["_raw"],
+        "score double, predicted int", keep, ["_tarnwater_raw"],
     )
 
 
