@@ -255,6 +255,20 @@ def digests(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFr
     return batch_map(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, ["text"])
 
 
+def token_rows(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
+    """``keep``, n_tokens, ids (as little-endian unsigned 32-bit integers) and decoded_sha256 of each row."""
+
+    def make():
+        coder = codec(path or vocabulary())
+
+        def many(texts):
+            return [(len(i), i.tobytes(), hashlib.sha256(coder.decode(i).encode()).hexdigest()) for i in coder.encode_batch(texts)]
+
+        return many
+
+    return batch_map(docs, make, "n_tokens bigint, ids binary, decoded_sha256 string", keep, ["text"])
+
+
 def op6_bpe_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), ["doc_id"])
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwater.llm.common import durable, read_table, release, row_map, shuffle_partitions, small_batches, text_bytes
@@ -229,11 +229,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does: the one of the smallest doc_id.
 
-    Of rows that repeat this doc_id the one with the smallest text hash stays.
-    A group whose ids are all null keeps all its rows, as nothing tells them apart.
+    Of rows that repeat this doc_id one stays, that of the smallest text hash.  A
+    group whose ids are all null keeps all its rows, as nothing tells them apart.
     """
-    groups = near_duplicates(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
+    found = durable(near_duplicates(docs), "simhash-found")
+    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = durable(kept.select(F.col("doc_id").alias("_kept"), "_n"), "simhash-kept")
+    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    if kept.where("_n > 1 AND _kept IS NOT NULL").isEmpty():
+        return stay
+    packed = stay.select("doc_id", F.struct("*").alias("_row"), F.xxhash64("text").alias("_hash"))
+    order = Window.partitionBy("doc_id").orderBy("_hash")
+    return packed.withColumn("_place", F.row_number().over(order)).where("_place = 1 OR doc_id IS NULL").select("_row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,5 +103,7 @@ def test_query_against_brute_force(spark, table):
     assert len(set(roots)) < len(rows) - 30
     kept = m.keep_one(spark.read.parquet(f"{folder}/documents.parquet"))
     assert {x.doc_id for x in kept.collect()} == {*ids.values(), None}
+    twice = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NOT NULL")
+    assert m.keep_one(twice.union(twice)).count() == len(set(ids.values()))
     empty = table("documents", spark.createDataFrame([], "doc_id bigint, text string"))
     assert m.op2_simhash_near_dedup(spark, empty).count() == 0
