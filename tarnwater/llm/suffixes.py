@@ -269,8 +269,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = durable(anchored(docs), "suffix-spans")
     buckets = rows.groupBy("a").agg(F.count("*").alias("k"), (F.min("sh") != F.max("sh")).alias("mixed")).where("k > 1").select("a", "mixed")
     buckets = durable(buckets, "suffix-buckets")
-    equal = rows.join(buckets.where("NOT mixed"), "a").select("th", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
-    kinds = rows.join(buckets.where("mixed"), "a", "left_semi").groupBy("a", "sh")
+    shared = durable(rows.join(buckets, "a"), "suffix-shared")  # most spans are alone in their bucket and go here
+    release(rows)
+    equal = shared.where("NOT mixed").select("th", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    kinds = shared.where("mixed").groupBy("a", "sh")
     kinds = kinds.agg(F.count("*").alias("k"), F.min(F.struct("id", "th", "start", "n", "place")).alias("one"))
     kinds = kinds.select("a", "sh", (F.col("k") > 1).alias("twice"), "one.*")
     wanted = durable(kinds, "suffix-kinds")
@@ -279,10 +281,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     different = durable(fetched.groupBy("a", "sh").agg(F.first("twice").alias("twice"), F.first("raw").alias("raw"), F.first("low").alias("low"), F.first("high").alias("high")), "suffix-different")
     sorted_ = durable(_resolve(different), "suffix-sorted")
-    inside = rows.join(sorted_.withColumnsRenamed({"start": "from", "stop": "to"}), ["a", "sh"])
+    inside = shared.join(sorted_.withColumnsRenamed({"start": "from", "stop": "to"}), ["a", "sh"])
     inside = inside.select("th", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") - 1 + LENGTH).alias("stop"))
     found = durable(equal.unionByName(inside).groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "suffix-runs")
-    for x in (rows, wanted, different):
+    for x in (shared, wanted, different):
         release(x)
     return found
 
