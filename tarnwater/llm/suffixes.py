@@ -264,6 +264,12 @@ def _resolve(different: DataFrame) -> DataFrame:
     return _sort_suffixes(calm).unionByName(up)
 
 
+def _span_runs(found: DataFrame) -> DataFrame:
+    """a, sh, runs: one row for each span, with its runs of repeated windows joined (a span has at most ``REACH`` windows)."""
+    grouped = found.groupBy("a", "sh").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return durable(batch_map(grouped, lambda: lambda runs: [(merged(r),) for r in runs], "joined array<struct<start:int,stop:int>>", ["a", "sh"], ["runs"]), "suffix-span-runs").withColumnRenamed("joined", "runs")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """th, runs: for each text hash with repeats, the (start, stop) byte runs, possibly overlapping."""
     rows = durable(anchored(docs), "suffix-spans")
@@ -280,9 +286,8 @@ def repeated(docs: DataFrame) -> DataFrame:
         "a", "sh", "twice", F.substring("raw", F.col("start") + 1, F.col("n") - 1 + LENGTH).alias("raw"), (F.col("place") - F.col("start")).alias("low"), (F.col("place") - F.col("start") + GRAM).alias("high")
     )
     different = durable(fetched.groupBy("a", "sh").agg(F.first("twice").alias("twice"), F.first("raw").alias("raw"), F.first("low").alias("low"), F.first("high").alias("high")), "suffix-different")
-    sorted_ = durable(_resolve(different), "suffix-sorted")
-    inside = shared.join(sorted_.withColumnsRenamed({"start": "from", "stop": "to"}), ["a", "sh"])
-    inside = inside.select("th", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") - 1 + LENGTH).alias("stop"))
+    inside = shared.select("th", F.col("start").alias("at"), "a", "sh").join(_span_runs(_resolve(different)), ["a", "sh"]).select("th", "at", F.explode("runs").alias("r"))
+    inside = inside.select("th", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.stop") - 1 + LENGTH).alias("stop"))
     found = durable(equal.unionByName(inside).groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "suffix-runs")
     for x in (shared, wanted, different):
         release(x)
