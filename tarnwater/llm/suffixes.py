@@ -10,6 +10,9 @@ one anchor owns a run of neighbouring windows, its span.  Spans are dealt into
 buckets by the anchor's hash; there are some 100 times fewer spans than bytes,
 and only hashes and places travel.  A bucket of one span is finished: nothing in
 it repeats.  So is a bucket whose spans are all equal: everything in it does.
+Equal spans of one text are one row with their number and their joined places:
+they repeat each other, so nothing needs to be looked up for them, and periodic
+text, where each period starts a span, gives a row and not one for each period.
 
 Refinement.  The other buckets' different spans are fetched as bytes and their
 suffixes sorted in :func:`refine`: pointers to buckets of equal first 8 bytes
@@ -165,21 +168,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """id, th, start, n, place, a, sh: the spans of every text; a and sh are hashes of anchor and span."""
+    """id, th, start, n, place, a, sh, times, runs: the different spans of every text; a and sh are hashes of anchor and span.
+
+    A span that a text holds once has times 1 and no runs.  The others have the
+    start of their first place and as runs the bytes of all their places.
+    """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("th", pa.binary()), ("start", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("a", pa.int64()), ("sh", pa.int64())])
+    places = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    schema = pa.schema([("id", pa.int64()), ("th", pa.binary()), ("start", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("a", pa.int64()), ("sh", pa.int64()), ("times", pa.int64()), ("runs", places)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, th, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "raw")), strict=True):
+                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for start, n, place, a in spans(raw):
                     sh = xxhash.xxh64_intdigest(raw[start : start + n - 1 + LENGTH], 1)
-                    out.append((i, th, start, n, place, _signed(a), _signed(sh)))
+                    found.setdefault((_signed(a), _signed(sh)), []).append((start, n, place))
+                for (a, sh), same in found.items():
+                    runs = merged([{"start": x, "stop": x + n - 1 + LENGTH} for x, n, _ in same]) if len(same) > 1 else None
+                    out.append((i, th, *same[0], a, sh, len(same), runs))
             yield _batch(out, schema)
 
     rows = _keyed(docs).where(F.length("raw") >= LENGTH).select("id", "th", "raw")
-    return rows.mapInArrow(run, "id bigint, th binary, start int, n int, place int, a bigint, sh bigint")
+    return rows.mapInArrow(run, "id bigint, th binary, start int, n int, place int, a bigint, sh bigint, times bigint, runs array<struct<start:int,stop:int>>")
 
 
 def _sort_suffixes(spans_: DataFrame) -> DataFrame:
@@ -273,22 +285,23 @@ def _span_runs(found: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """th, runs: for each text hash with repeats, the (start, stop) byte runs, possibly overlapping."""
     rows = durable(anchored(docs), "suffix-spans")
-    buckets = rows.groupBy("a").agg(F.count("*").alias("k"), (F.min("sh") != F.max("sh")).alias("mixed")).where("k > 1").select("a", "mixed")
+    buckets = rows.groupBy("a").agg(F.sum("times").alias("k"), (F.min("sh") != F.max("sh")).alias("mixed")).where("k > 1").select("a", "mixed")
     buckets = durable(buckets, "suffix-buckets")
     shared = durable(rows.join(buckets, "a"), "suffix-shared")  # most spans are alone in their bucket and go here
     release(rows)
-    equal = shared.where("NOT mixed").select("th", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    equal = shared.where("NOT mixed AND times = 1").select("th", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    within = shared.where("times > 1").select("th", F.explode("runs").alias("r")).select("th", "r.*")
     kinds = shared.where("mixed").groupBy("a", "sh")
-    kinds = kinds.agg(F.count("*").alias("k"), F.min(F.struct("id", "th", "start", "n", "place")).alias("one"))
+    kinds = kinds.agg(F.sum("times").alias("k"), F.min(F.struct("id", "th", "start", "n", "place")).alias("one"))
     kinds = kinds.select("a", "sh", (F.col("k") > 1).alias("twice"), "one.*")
     wanted = durable(kinds, "suffix-kinds")
     fetched = _keyed(docs).join(wanted, ["id", "th"]).select(
         "a", "sh", "twice", F.substring("raw", F.col("start") + 1, F.col("n") - 1 + LENGTH).alias("raw"), (F.col("place") - F.col("start")).alias("low"), (F.col("place") - F.col("start") + GRAM).alias("high")
     )
     different = durable(fetched.groupBy("a", "sh").agg(F.first("twice").alias("twice"), F.first("raw").alias("raw"), F.first("low").alias("low"), F.first("high").alias("high")), "suffix-different")
-    inside = shared.select("th", F.col("start").alias("at"), "a", "sh").join(_span_runs(_resolve(different)), ["a", "sh"]).select("th", "at", F.explode("runs").alias("r"))
+    inside = shared.where("mixed AND times = 1").select("th", F.col("start").alias("at"), "a", "sh").join(_span_runs(_resolve(different)), ["a", "sh"]).select("th", "at", F.explode("runs").alias("r"))
     inside = inside.select("th", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.stop") - 1 + LENGTH).alias("stop"))
-    found = durable(equal.unionByName(inside).groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "suffix-runs")
+    found = durable(equal.unionByName(within).unionByName(inside).groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "suffix-runs")
     for x in (shared, wanted, different):
         release(x)
     return found

@@ -81,6 +81,18 @@ def test_query_against_brute_force(spark, table, monkeypatch, hot):
     assert {r.doc_id: r.text for r in kept.collect()}[5] == "" and kept.where("doc_id = 0").first().text is None
 
 
+def test_periodic_texts_are_few_rows(spark, table):
+    r = random.Random(4)
+    line = noise(r, 9)
+    texts = ["z" * 3000, "z" * 401, line * 500, noise(r, 300) + line * 90 + noise(r, 300), noise(r, 700) + line * 60, line * 44 + "##", noise(r, 450)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = m.anchored(docs).collect()
+    assert len(rows) == len({(x.th, x.a, x.sh) for x in rows}) < 100
+    assert sum(x.times * x.n for x in rows) == sum(max(0, len(t.encode()) - L + 1) for t in texts)
+    got = m.op5_suffix_array_dedup(spark, table("documents", docs)).collect()
+    assert [tuple(x)[1:] for x in sorted(got)] == brute(texts)
+
+
 def test_empty(spark, table):
     folder = table("documents", spark.createDataFrame([], "doc_id bigint, text string"))
     assert m.op5_suffix_array_dedup(spark, folder).count() == 0
