@@ -19,6 +19,18 @@ fingerprints (32 MB), whatever the input; the copies of a text are one
 fingerprint before any of this.  A top node gives out a star of links for each
 of its local components, never all pairs.
 
+:func:`near_duplicates` and :func:`keep_one` also take a likeness: texts then link
+at that Jaccard coefficient or more of their sets of word shingles, computed from
+the texts for every link.  64 bits within 2 find few of these, so their candidates
+come from a ``WIDE``-bit SimHash of the set, by bit sampling: a table's top nodes
+share ``k`` sampled bits, with ``k`` so that a node has some ``NODE`` texts and as
+many tables as let a pair of likeness 0.8 (0.848 of the bits agree) share a node
+with probability ``FOUND``.  Texts within ``RADIUS`` bits in a node, whose
+sizes allow the likeness, are joined to candidate groups by stars; each text goes
+once to its group (in a group over ``GROUP``, once for each pair of its parts), and
+there all pairs within ``RADIUS`` bits are compared that no link joins yet.  Texts with the same
+64-bit hash after lower-casing and joining of words are taken as one.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; repeated rows and ids each get a row; null
 doc_ids keep their rows, and a component_id is the smallest id that is not null.
@@ -27,7 +39,9 @@ Only the columns doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import random
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +58,11 @@ FANOUT = 8
 PLAIN = 12
 #: Fingerprints that search an index at the same time.
 QUERIES_AT_ONCE = 2048
+#: Candidates of a likeness: bits, the most that differ, texts in a top node, the share of pairs of likeness 0.8 that meet in one, and texts in a part of a group.
+WIDE, RADIUS, NODE, FOUND, GROUP = 128, 31, 1024, 0.999, 512
 
 
-def simhash(raw: bytes) -> int:
+def simhash(raw: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text's UTF-8 bytes."""
     words = raw.lower().split()
     if not words:
@@ -54,7 +70,7 @@ def simhash(raw: bytes) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
-    stops = (ends - 1).tolist()[SHINGLE - 1 :]
+    stops = (ends - 1).tolist()[shingle - 1 :]
     if not stops:
         return xxhash.xxh64_intdigest(joined, 42)
     digest = xxhash.xxh64_digest
@@ -67,9 +83,37 @@ def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer."""
-    return row_map(docs.select("doc_id", text_bytes().alias("raw")), lambda: lambda raw: (signed(simhash(raw)),), "fp bigint", ["doc_id"], ["raw"])
+    return row_map(docs.select("doc_id", text_bytes().alias("raw")), lambda: lambda raw: (signed(simhash(raw, shingle)),), "fp bigint", ["doc_id"], ["raw"])
+
+
+def shingle_set(raw: bytes, shingle: int) -> set[bytes]:
+    """The different word shingles of a text; one of fewer words is one shingle, one without words has none."""
+    words = raw.lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def wide_print(raw: bytes, shingle: int) -> tuple[int, int, int]:
+    """The number of different shingles and the two halves of their ``WIDE``-bit SimHash, signed."""
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(s) for s in shingle_set(raw, shingle)])
+    n = len(found) * 8 // WIDE
+    set_bits = np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, WIDE // 8), axis=1).sum(axis=0, dtype=np.int64)
+    hi, lo = np.packbits(set_bits * 2 > n).view(">i8").tolist()
+    return n, hi, lo
+
+
+def text_key() -> Column:
+    """A hash of the text's words, lower-cased and joined."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), "[ \\t\\n\\x0B\\f\\r]+", " ")))
+
+
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp (the text's key), and n, hi, lo of :func:`wide_print`."""
+    source = docs.select("doc_id", text_key().alias("fp"), text_bytes().alias("raw"))
+    return row_map(source, lambda: lambda raw: wide_print(raw, shingle), "n int, hi bigint, lo bigint", ["doc_id", "fp"], ["raw"])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -210,12 +254,140 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
+def table_masks(texts: int) -> list[tuple[int, int]]:
+    """The sampled bits of each table, as two unsigned halves; bits repeat only after all have been used."""
+    k = max(0, math.ceil(math.log2(max(texts, 1) / NODE)))
+    agree = (1 - math.acos(2 * 0.8 / 1.8) / math.pi) ** k
+    tables = 1 if k == 0 else math.ceil(math.log(1 - FOUND) / math.log(1 - agree))
+    r, bits, out = random.Random(42), [], []
+    for _ in range(tables):
+        if len(bits) < k:
+            bits = r.sample(range(WIDE), WIDE)
+        mask = sum(1 << b for b in bits[:k])
+        bits = bits[k:]
+        out.append((mask >> 64, mask & (2**64 - 1)))
+    return out
+
+
+def near_pairs(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, likeness: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (later, earlier) of all pairs within ``RADIUS`` bits whose sizes allow the likeness, by runs of rows."""
+    step = max(1, 2**20 // max(1, len(hi)))
+    for at in range(0, len(hi), step):
+        rows = np.arange(at, min(at + step, len(hi)))
+        other = slice(0, rows[-1])
+        near = np.bitwise_count(hi[rows, None] ^ hi[other]) + np.bitwise_count(lo[rows, None] ^ lo[other]) <= RADIUS
+        near &= np.arange(rows[-1]) < rows[:, None]
+        x, y = np.nonzero(near)
+        x = rows[x]
+        fits = np.minimum(n[x], n[y]) + 1e-6 >= likeness * np.maximum(n[x], n[y])
+        yield x[fits], y[fits]
+
+
+def _by_key(run: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives ``run`` the other columns of each value of the first one, in batches sorted by it, and makes src, dst of the results."""
+
+    def give(table: pa.Table) -> pa.RecordBatch:
+        key = table.column(0).to_numpy()
+        edges = [*np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist(), len(key)] if len(key) else []
+        found = [run(*(table.column(c).slice(a, b - a) for c in range(1, table.num_columns))) for a, b in zip(edges, edges[1:]) if b - a > 1]
+        src, dst = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+
+    def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            if held and key[-1] == held[-1].column(0)[0].as_py():  # the last key goes on
+                held.append(batch)
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            yield give(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield give(pa.Table.from_batches(held))
+
+    return all_batches
+
+
+def candidates(prints: DataFrame, likeness: float) -> DataFrame:
+    """src, dst: stars that join what a path of :func:`near_pairs` in any top node joins; ``prints`` has fp, n, hi and lo."""
+    spark = prints.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    masks = enumerate(table_masks(prints.count()))
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("hi").bitwiseAND(F.lit(signed(a))), F.col("lo").bitwiseAND(F.lit(signed(b)))) for t, (a, b) in masks)))
+    dealt = prints.where("n > 0").select(keys.alias("key"), "fp", "n", "hi", "lo").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+
+    def run(fp, n, hi, lo):
+        fp, n, hi, lo = fp.to_numpy(), n.to_numpy(), hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64)
+        parent = np.arange(len(fp))
+        for x, y in near_pairs(hi, lo, n, likeness):
+            _union(parent, x, y)
+        linked = parent != np.arange(len(fp))
+        return fp[linked], fp[parent[linked]]
+
+    return dealt.mapInArrow(_by_key(run), "src bigint, dst bigint").distinct()
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """src, dst: links between texts of ``likeness`` or more that join what a path of such links between candidates joins."""
+    spark = docs.sparkSession
+    groups = durable(connected_components(durable(candidates(prints, likeness), "simhash-near")).select(F.col("node").alias("fp"), "root"), "simhash-groups")
+    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
+    groups = durable(groups.join(parts, "root").join(prints, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")), "simhash-parts")
+    texts = docs.select(text_key().alias("fp"), "text").join(groups.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    meets = groups.join(durable(texts, "simhash-texts"), "fp").withColumn("other", other)
+    key = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
+    meets = meets.select(key.alias("key"), "fp", "n", "hi", "lo", "part", (F.col("part") == F.col("other")).alias("own"), text_bytes().alias("raw"))
+    meets = meets.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+
+    def run(fp, n, hi, lo, part, own, raw):
+        fp, n, hi, lo, part = fp.to_numpy(), n.to_numpy(), hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64), part.to_numpy()
+        within = own[0].as_py()  # a part against itself, or two parts against each other
+        numbers: dict[bytes, int] = {}
+        sets = [np.array([numbers.setdefault(s, len(numbers)) for s in sorted(shingle_set(r.as_py(), shingle))], np.int64) for chunk in raw.chunks for r in chunk]
+        mark, parent, src, dst = np.zeros(len(numbers), bool), list(range(len(fp))), [], []
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for x, y in near_pairs(hi, lo, n, likeness):
+            if not within:
+                x, y = (v[part[x] != part[y]] for v in (x, y))
+            at = -1
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if find(i) == find(j):
+                    continue
+                if i != at:
+                    mark[:] = False
+                    mark[sets[i]] = True
+                    at = i
+                both = int(np.count_nonzero(mark[sets[j]]))
+                if both + 1e-9 >= likeness * (len(sets[i]) + len(sets[j]) - both):
+                    parent[find(i)] = find(j)
+                    src.append(fp[i])
+                    dst.append(fp[j])
+            mark[:] = False
+        return np.array(src, np.int64), np.array(dst, np.int64)
+
+    small_batches(spark)
+    return meets.mapInArrow(_by_key(run), "src bigint, dst bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, likeness: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs``.
+
+    Without ``likeness`` texts link at ``LINK`` bits of their fingerprints fp; with
+    it at that Jaccard coefficient of their shingles, and fp is the text's key.
+    """
     small_batches(docs.sparkSession)
-    prints = durable(fingerprints(docs), "simhash")
-    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    found = durable(links(classes.select("fp")), "simhash-links")
+    prints = durable(fingerprints(docs, shingle) if likeness is None else wide_prints(docs, shingle), "simhash")
+    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in prints.columns[2:])), "simhash-classes")
+    found = durable(links(classes.select("fp")) if likeness is None else alike_links(docs, classes.drop("first_id"), shingle, likeness), "simhash-links")
     roots = connected_components(found)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = durable(rooted, "simhash-roots")
@@ -226,13 +398,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, likeness: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does: the one of the smallest doc_id.
 
     Of rows that repeat this doc_id one stays, that of the smallest text hash.  A
     group whose ids are all null keeps all its rows, as nothing tells them apart.
     """
-    found = durable(near_duplicates(docs), "simhash-found")
+    found = durable(near_duplicates(docs, shingle, likeness), "simhash-found")
     kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
     kept = durable(kept.select(F.col("doc_id").alias("_kept"), "_n"), "simhash-kept")
     stay = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")

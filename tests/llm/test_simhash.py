@@ -107,3 +107,35 @@ def test_query_against_brute_force(spark, table):
     assert m.keep_one(twice.union(twice)).count() == len(set(ids.values()))
     empty = table("documents", spark.createDataFrame([], "doc_id bigint, text string"))
     assert m.op2_simhash_near_dedup(spark, empty).count() == 0
+
+
+def test_planted_near_copies(spark):
+    """The pipeline's stage drops near copies of 0.8 of the five-word shingles, and what is less alike stays."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    texts, near, far = [], [], []
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(r.randint(150, 400))]
+        texts.append(" ".join(base))
+        for kept, share in ((near, 0.015), (far, 0.1)):
+            copy = list(base)
+            for i in r.sample(range(len(copy)), round(len(copy) * share)):
+                copy[i] = r.choice(words)
+            a, b = m.shingle_set(texts[-1].encode(), 5), m.shingle_set(" ".join(copy).encode(), 5)
+            assert (len(a & b) >= 0.8 * len(a | b)) == (kept is near)
+            kept.append(" ".join(copy))
+    crowd = [" ".join(["crowd"] + [f"w{j}" for j in range(200)] + [f"own{i}"]) for i in range(300)]
+    rows = [*enumerate(texts + far + near + crowd), (9000, None), (9001, ""), (9002, texts[0].upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {*range(120), 180, 9000}
+    import corpus_pipeline
+
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+    old = m.NODE, m.GROUP
+    m.NODE, m.GROUP = 16, 64  # several tables, and a crowd in parts
+    try:
+        assert len(m.table_masks(len(rows))) >= 8
+        assert {x.doc_id for x in m.keep_one(docs, 5, 0.8).collect()} == want
+    finally:
+        m.NODE, m.GROUP = old
+    assert m.keep_one(docs.limit(0), 5, 0.8).count() == 0
