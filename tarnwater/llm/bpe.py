@@ -23,7 +23,7 @@ Chunks pass through the library's model once and are then kept in a bounded
 cache of the worker process.
 
 Defined cases: a null text counts as empty and has no tokens; text that spells a
-special token becomes that token, as in the library; repeated rows each get a
+special token in its own case becomes that token, as in the library; repeated rows each get a
 row; ids outside the vocabulary are skipped in decoding.  Only doc_id and text
 are read.
 """
@@ -85,9 +85,9 @@ class Codec:
         self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.table = dict(enumerate(byte_characters()))
         self.marks = {c: self._word(c) for c in ".,"}
-        self.older: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
-        self.specials = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+        self.older: dict[str | tuple[str], bytes] = {}
+        self.cache: dict[str | tuple[str], bytes] = {}
+        self.specials = {(t["content"],): array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
 
     # words
 
@@ -118,7 +118,7 @@ class Codec:
         chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
         return array("I", self.encode_run(chars)).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: list[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
         """Entries of chunks that the cache lacks."""
         found = {c: self.specials[c] for c in chunks if c in self.specials}
         for chunk in chunks:
@@ -175,12 +175,12 @@ class Codec:
             cuts = cuts[::2] if len(cuts) % 2 else [*cuts[::2], cuts[-1]]
         return level[0] if level else []
 
-    def chunks(self, text: str) -> list[str]:
-        """The text's chunks; a special token stands as its own string."""
+    def chunks(self, text: str) -> list[str | tuple[str]]:
+        """The text's chunks; a special token stands as a tuple, which no chunk of lower-cased text equals."""
         if "<|" in text and (found := [*self.special.finditer(text)]):
             out, at = [], 0
             for m in found:
-                out += [*self.chunks(text[at : m.start()]), m[0]]
+                out += [*self.chunks(text[at : m.start()]), (m[0],)]
                 at = m.end()
             return out + self.chunks(text[at:])
         if PLAIN.fullmatch(text):
