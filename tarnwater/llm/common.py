@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,13 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_DIR: dict[str, str] = {}
+#: The most bits of a :func:`marked` table, which bounds what it broadcasts to 16 MB.
+MARK_BITS = 1 << 27
+_PAGE = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tarnwater-checkpoint-"))
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the warehouse where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tarnwater-shared"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +50,39 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with the boolean column ``flag``, which is false only where ``key`` is none of the values of ``keys``.
+
+    A table of bits, of which the hash of each value sets one, is broadcast: 16 or
+    more bits for a value, up to ``MARK_BITS`` in all, so its size is bounded.
+    Beyond that more rows are flagged than need be and none fewer, so whoever joins
+    the flagged rows alone gets the whole result and shuffles few rows.  ``key`` and
+    the one column of ``keys`` are 64-bit integers, null matching nothing.
+    """
+    bits = min(MARK_BITS, max(_PAGE, 1 << (16 * keys.count()).bit_length()))
+    place = lambda k: F.xxhash64(k).bitwiseAND(F.lit(bits - 1))
+    at = place(F.col(keys.columns[0]))
+    pages = keys.select(F.shiftright(at, 15).alias("_tarnwater_page"), at.bitwiseAND(F.lit(_PAGE - 1)).alias("bit"))
+    pages = durable(pages.groupBy("_tarnwater_page").agg(F.bitmap_construct_agg("bit").alias("_tarnwater_map")), "marks")
+    rows = df.withColumn("_tarnwater_at", place(key)).withColumn("_tarnwater_page", F.shiftright("_tarnwater_at", 15))
+    byte = "cast(conv(hex(substring(_tarnwater_map, cast(_tarnwater_at % 32768 div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    found = F.expr(f"coalesce(shiftright({byte}, cast(_tarnwater_at % 8 AS int)) % 2 = 1, false)")
+    rows = rows.join(F.broadcast(pages), "_tarnwater_page", "left").withColumn(flag, found & key.isNotNull())
+    return rows.drop("_tarnwater_at", "_tarnwater_page", "_tarnwater_map")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or more (the last one of fewer)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum([b.num_rows for b in held]) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for this session, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

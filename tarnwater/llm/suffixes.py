@@ -1,11 +1,11 @@
 """Removal of repeated byte strings over suffixes sorted by bucket-pointer refinement.
 
-Every byte that lies in a string of ``LENGTH`` bytes which also starts elsewhere,
-in another text or the same, is removed.  Texts are UTF-8 bytes and no string
-crosses from one to the next.
+Every byte that lies in a string of ``length`` bytes (``LENGTH``, unless the caller
+says otherwise) which also starts elsewhere, in another text or the same, is
+removed.  Texts are UTF-8 bytes and no string crosses from one to the next.
 
-Initial buckets.  A string (a window) belongs to the leftmost of its ``GRAM``-byte
-pieces whose hash is smallest, its anchor: equal windows have equal anchors, and
+Initial buckets.  A string (a window) belongs to the leftmost of its pieces of
+:func:`gram` bytes whose hash is smallest, its anchor: equal windows have equal anchors, and
 one anchor owns a run of neighbouring windows, its span.  Spans are dealt into
 buckets by the anchor's hash; there are some 100 times fewer spans than bytes,
 and only hashes and places travel.  A bucket of one span is finished: nothing in
@@ -18,18 +18,21 @@ Refinement.  The other buckets' different spans are fetched as bytes and their
 suffixes sorted in :func:`refine`: pointers to buckets of equal first 8 bytes
 are refined by the pointers found at the offset of the depth reached, which
 doubles the depth each time, as the refined pointers are used for the next, up to
-``LENGTH``; windows that still share a bucket are equal.  A bucket of more than
+the length; windows that still share a bucket are equal.  A bucket of more than
 ``HOT`` different spans is cut before that (:func:`_children`): each window
 holds either the left or the right half of what the bucket's common part lacks to
-``LENGTH``, so its spans go to buckets by that longer common part.  Nine halvings
+the length, so its spans go to buckets by that longer common part.  Nine halvings
 leave single windows, whose buckets are equalities, so no passage, however
 frequent, meets in one task.
 
+Texts travel only where needed: those of which spans are fetched, and those that
+lose bytes, are told from the others by :func:`~tarnwater.llm.common.marked`.
+
 Hashes of 64 bits only choose buckets together with a second one of the span, so
 unequal spans are taken for equal at a chance of about 2**-128 for each pair.
 
 Defined cases: null texts count as empty and lose nothing, as do texts under
-``LENGTH`` bytes; texts of ``LENGTH`` or more that occur twice lose all bytes in
+the length; texts of the length or more that occur twice lose all bytes in
 every copy, repeated rows included; periodic text repeats itself; null ids keep
 their rows.  Only doc_id and text are read, other columns pass through
 :func:`deduplicate`.
@@ -46,14 +49,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwater.llm.common import batch_map, durable, read_table, release, shuffle_partitions, small_batches, text_bytes
+from tarnwater.llm.common import batch_map, durable, marked, read_table, release, shuffle_partitions, small_batches, text_bytes
 
-LENGTH, GRAM = 400, 200
-REACH = LENGTH - GRAM + 1  #: pieces of a window
+LENGTH = 400
 HOT = 1024
 #: Bytes of spans whose suffixes are sorted together.
 TOGETHER = 1 << 19
 
+
+def gram(length: int) -> int:
+    """Bytes of a window's pieces: half of the window, as a multiple of 8."""
+    return max(8, length // 16 * 8)
+
+
+def reach(length: int) -> int:
+    """Pieces of a window."""
+    return length - gram(length) + 1
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +77,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(raw: bytes, length: int = GRAM) -> np.ndarray:
+def gram_hashes(raw: bytes, length: int = gram(LENGTH)) -> np.ndarray:
     """A hash of the ``length`` bytes from each place (a multiple of 8)."""
     n = len(raw) - length + 1
     if n <= 0:
@@ -91,16 +104,17 @@ def _slide(h: np.ndarray, reach: int, pick) -> np.ndarray:
     return pick(h[: len(h) - (reach - width)], h[reach - width :]) if width < reach else h
 
 
-def spans(raw: bytes) -> list[tuple[int, int, int, int]]:
+def spans(raw: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(first window, number of windows, anchor's place, anchor's hash) of every span of a text."""
-    if len(raw) < LENGTH:
+    if len(raw) < length:
         return []
-    h = gram_hashes(raw)
-    least = _slide(h, REACH, np.minimum)
+    pieces = reach(length)
+    h = gram_hashes(raw, gram(length))
+    least = _slide(h, pieces, np.minimum)
     n = len(least)
-    edge = np.full(REACH - 1, 0, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), REACH, np.maximum) == h)
-    if n < REACH:  # fewer windows than pieces: the edges' zeros must not count as a window's least
+    edge = np.full(pieces - 1, 0, np.uint64)
+    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), pieces, np.maximum) == h)
+    if n < pieces:  # fewer windows than pieces: the edges' zeros must not count as a window's least
         chosen = chosen[(h[chosen][:, None] == np.unique(least)).any(axis=1)]
     places, hashes = chosen.tolist(), h[chosen].tolist()
     before, after, stack = [-1] * len(places), [len(h)] * len(places), []
@@ -112,25 +126,25 @@ def spans(raw: bytes) -> list[tuple[int, int, int, int]]:
         stack.append(i)
     out = []
     for p, x, b, a in zip(places, hashes, before, after, strict=True):
-        low, high = max(b + 1, p - REACH + 1), min(p, a - REACH, n - 1)
+        low, high = max(b + 1, p - pieces + 1), min(p, a - pieces, n - 1)
         if low <= high:
             out.append((low, high - low + 1, p, x))
     return out
 
 
-def refine(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Whether the ``LENGTH`` bytes from each of ``windows`` also start at another of them."""
+def refine(text: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the ``length`` bytes from each of ``windows`` also start at another of them."""
     n = len(text) - 7
     if not len(windows):
         return np.zeros(0, bool)
     # bucket pointers by the first 8 bytes; a pointer is the place of its bucket's last suffix in the sorted order
     pointer = _pointers(np.ndarray(n, ">u8", text.tobytes(), strides=(1,)).astype(np.uint64))
     depth = 8
-    while depth * 2 <= LENGTH:
+    while depth * 2 <= length:
         live = len(pointer) - depth
         pointer = _pointers(pointer[:live] * np.int64(n) + pointer[depth:])
         depth *= 2
-    last = pointer[windows] * np.int64(n) + pointer[windows + LENGTH - depth]
+    last = pointer[windows] * np.int64(n) + pointer[windows + length - depth]
     _, bucket, size = np.unique(last, return_inverse=True, return_counts=True)
     return size[bucket] > 1
 
@@ -167,7 +181,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.expr(_ID).alias("id"), text_bytes().alias("raw")).withColumn("th", F.unhex(F.md5("raw")))
 
 
-def anchored(docs: DataFrame) -> DataFrame:
+def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, th, start, n, place, a, sh, times, runs: the different spans of every text; a and sh are hashes of anchor and span.
 
     A span that a text holds once has times 1 and no runs.  The others have the
@@ -182,19 +196,19 @@ def anchored(docs: DataFrame) -> DataFrame:
             out = []
             for i, th, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "raw")), strict=True):
                 found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for start, n, place, a in spans(raw):
-                    sh = xxhash.xxh64_intdigest(raw[start : start + n - 1 + LENGTH], 1)
+                for start, n, place, a in spans(raw, length):
+                    sh = xxhash.xxh64_intdigest(raw[start : start + n - 1 + length], 1)
                     found.setdefault((_signed(a), _signed(sh)), []).append((start, n, place))
                 for (a, sh), same in found.items():
-                    runs = merged([{"start": x, "stop": x + n - 1 + LENGTH} for x, n, _ in same]) if len(same) > 1 else None
+                    runs = merged([{"start": x, "stop": x + n - 1 + length} for x, n, _ in same]) if len(same) > 1 else None
                     out.append((i, th, *same[0], a, sh, len(same), runs))
             yield _batch(out, schema)
 
-    rows = _keyed(docs).where(F.length("raw") >= LENGTH).select("id", "th", "raw")
+    rows = _keyed(docs).where(F.length("raw") >= length).select("id", "th", "raw")
     return rows.mapInArrow(run, "id bigint, th binary, start int, n int, place int, a bigint, sh bigint, times bigint, runs array<struct<start:int,stop:int>>")
 
 
-def _sort_suffixes(spans_: DataFrame) -> DataFrame:
+def _sort_suffixes(spans_: DataFrame, length: int) -> DataFrame:
     """a, sh, start, stop: runs of repeated windows in the spans (a, sh, twice, raw) of buckets a of at most ``HOT`` spans."""
     spark = spans_.sparkSession
     schema = pa.schema([("a", pa.int64()), ("sh", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -202,10 +216,10 @@ def _sort_suffixes(spans_: DataFrame) -> DataFrame:
     def give(rows: list[tuple]) -> pa.RecordBatch:
         lengths = np.array([len(r[3]) for r in rows], np.int64)
         starts = np.cumsum(lengths) - lengths
-        counts = lengths - LENGTH + 1
+        counts = lengths - length + 1
         firsts = np.cumsum(counts) - counts
         windows = np.repeat(starts - firsts, counts) + np.arange(counts.sum())
-        again = refine(np.frombuffer(b"".join([r[3] for r in rows]), np.uint8), windows)
+        again = refine(np.frombuffer(b"".join([r[3] for r in rows]), np.uint8), windows, length)
         out = []
         for (a, sh, twice, _), k, m in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
             out += [(a, sh, 0, m)] if twice else [(a, sh, x, y) for x, y in _runs(again[k : k + m])]
@@ -227,7 +241,7 @@ def _sort_suffixes(spans_: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, sh bigint, start int, stop int")
 
 
-def _children(hot: DataFrame) -> DataFrame:
+def _children(hot: DataFrame, length: int) -> DataFrame:
     """The spans of hot buckets cut in two: a, sh and offset of the parent, and b, bh, twice, raw, low, high of the child.
 
     low and high bound the part of a span that is common to its bucket.
@@ -238,8 +252,8 @@ def _children(hot: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for a, sh, twice, raw, low, high in zip(*(batch.column(c).to_pylist() for c in ("a", "sh", "twice", "raw", "low", "high")), strict=True):
-                last = len(raw) - LENGTH  # the last window
-                free = LENGTH - (high - low)
+                last = len(raw) - length  # the last window
+                free = length - (high - low)
                 half = -(-free // 2)
                 sides = [(0, min(last, low - half), low - half, high)]
                 if free > 1:
@@ -248,7 +262,7 @@ def _children(hot: DataFrame) -> DataFrame:
                     sides.append((max(0, low), last, low, high + 1))
                 for first, end, u, v in sides:
                     if first <= end:
-                        part = raw[first : end + LENGTH]
+                        part = raw[first : end + length]
                         b = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True) + raw[u:v], 2)
                         out.append((a, sh, first, _signed(b), _signed(xxhash.xxh64_intdigest(part, 3)), twice, part, u - first, v - first))
             yield _batch(out, schema)
@@ -256,51 +270,52 @@ def _children(hot: DataFrame) -> DataFrame:
     return hot.mapInArrow(run, "a bigint, sh bigint, off int, b bigint, bh bigint, twice boolean, raw binary, low int, high int")
 
 
-def _resolve(different: DataFrame) -> DataFrame:
+def _resolve(different: DataFrame, length: int) -> DataFrame:
     """a, sh, start, stop: runs of repeated windows in the spans (a, sh, twice, raw, low, high), each different in its bucket a."""
     sizes = durable(different.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("a"), "suffix-hot")
     if sizes.isEmpty():
-        return _sort_suffixes(different)
+        return _sort_suffixes(different, length)
     calm = different.join(sizes, "a", "left_anti")
-    members = durable(_children(different.join(sizes, "a", "left_semi")), "suffix-members")
+    members = durable(_children(different.join(sizes, "a", "left_semi"), length), "suffix-members")
     kinds = members.groupBy("b", "bh").agg(F.count("*").alias("n"), F.max("twice").alias("t"), F.min(F.struct("a", "sh", "off")).alias("one"))
     kinds = durable(kinds.select("b", "bh", ((F.col("n") > 1) | F.col("t")).alias("again"), "one"), "suffix-kinds")
     mixed = durable(kinds.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "suffix-mixed")
     chosen = kinds.join(mixed, "b", "left_semi").select("b", "bh", "again", "one.*")
     deeper = members.join(chosen, ["b", "bh", "a", "sh", "off"]).select(F.col("b").alias("a"), F.col("bh").alias("sh"), F.col("again").alias("twice"), "raw", "low", "high")
-    below = _resolve(durable(deeper, "suffix-deeper")).select(F.col("a").alias("b"), F.col("sh").alias("bh"), "start", "stop")
+    below = _resolve(durable(deeper, "suffix-deeper"), length).select(F.col("a").alias("b"), F.col("sh").alias("bh"), "start", "stop")
     equal = kinds.where("again").join(mixed, "b", "left_anti").select("b", "bh", F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"))
     found = durable(below.unionByName(equal), "suffix-found")
-    sized = members.select("a", "sh", "off", "b", "bh", (F.length("raw") - LENGTH + 1).alias("n"))
+    sized = members.select("a", "sh", "off", "b", "bh", (F.length("raw") - length + 1).alias("n"))
     up = sized.join(found, ["b", "bh"]).select("a", "sh", (F.col("start") + F.col("off")).alias("start"), (F.coalesce("stop", "n") + F.col("off")).alias("stop"))
-    return _sort_suffixes(calm).unionByName(up)
+    return _sort_suffixes(calm, length).unionByName(up)
 
 
 def _span_runs(found: DataFrame) -> DataFrame:
-    """a, sh, runs: one row for each span, with its runs of repeated windows joined (a span has at most ``REACH`` windows)."""
+    """a, sh, runs: one row for each span, with its runs of repeated windows joined (a span has at most as many windows as a window has pieces)."""
     grouped = found.groupBy("a", "sh").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     return durable(batch_map(grouped, lambda: lambda runs: [(merged(r),) for r in runs], "joined array<struct<start:int,stop:int>>", ["a", "sh"], ["runs"]), "suffix-span-runs").withColumnRenamed("joined", "runs")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """th, runs: for each text hash with repeats, the (start, stop) byte runs, possibly overlapping."""
-    rows = durable(anchored(docs), "suffix-spans")
+    rows = durable(anchored(docs, length), "suffix-spans")
     buckets = rows.groupBy("a").agg(F.sum("times").alias("k"), (F.min("sh") != F.max("sh")).alias("mixed")).where("k > 1").select("a", "mixed")
     buckets = durable(buckets, "suffix-buckets")
     shared = durable(rows.join(buckets, "a"), "suffix-shared")  # most spans are alone in their bucket and go here
     release(rows)
-    equal = shared.where("NOT mixed AND times = 1").select("th", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    equal = shared.where("NOT mixed AND times = 1").select("th", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
     within = shared.where("times > 1").select("th", F.explode("runs").alias("r")).select("th", "r.*")
     kinds = shared.where("mixed").groupBy("a", "sh")
     kinds = kinds.agg(F.sum("times").alias("k"), F.min(F.struct("id", "th", "start", "n", "place")).alias("one"))
     kinds = kinds.select("a", "sh", (F.col("k") > 1).alias("twice"), "one.*")
     wanted = durable(kinds, "suffix-kinds")
-    fetched = _keyed(docs).join(wanted, ["id", "th"]).select(
-        "a", "sh", "twice", F.substring("raw", F.col("start") + 1, F.col("n") - 1 + LENGTH).alias("raw"), (F.col("place") - F.col("start")).alias("low"), (F.col("place") - F.col("start") + GRAM).alias("high")
+    wanted_key = F.xxhash64("id", "th")
+    fetched = marked(_keyed(docs), wanted_key, wanted.select(wanted_key.alias("k")), "some").where("some").join(wanted, ["id", "th"]).select(
+        "a", "sh", "twice", F.substring("raw", F.col("start") + 1, F.col("n") - 1 + length).alias("raw"), (F.col("place") - F.col("start")).alias("low"), (F.col("place") - F.col("start") + gram(length)).alias("high")
     )
     different = durable(fetched.groupBy("a", "sh").agg(F.first("twice").alias("twice"), F.first("raw").alias("raw"), F.first("low").alias("low"), F.first("high").alias("high")), "suffix-different")
-    inside = shared.where("mixed AND times = 1").select("th", F.col("start").alias("at"), "a", "sh").join(_span_runs(_resolve(different)), ["a", "sh"]).select("th", "at", F.explode("runs").alias("r"))
-    inside = inside.select("th", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.stop") - 1 + LENGTH).alias("stop"))
+    inside = shared.where("mixed AND times = 1").select("th", F.col("start").alias("at"), "a", "sh").join(_span_runs(_resolve(different, length)), ["a", "sh"]).select("th", "at", F.explode("runs").alias("r"))
+    inside = inside.select("th", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.stop") - 1 + length).alias("stop"))
     found = durable(equal.unionByName(within).unionByName(inside).groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("runs")), "suffix-runs")
     for x in (shared, wanted, different):
         release(x)
@@ -324,20 +339,22 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
-def _joined(docs: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row (all columns of ``docs``), raw, runs."""
-    found = repeated(docs)
+    found = repeated(docs, length)
     rows = docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).withColumn("th", F.unhex(F.md5("raw")))
-    return rows.join(found, "th", "left")
+    rows = marked(rows, F.xxhash64("th"), found.select(F.xxhash64("th").alias("k")), "some")
+    whole = rows.where("NOT some").select("row", "raw", F.lit(None).cast(found.schema["runs"].dataType).alias("runs"))
+    return rows.where("some").join(found, "th", "left").select("row", "raw", "runs").union(whole)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All rows and columns of ``docs`` with repeated strings removed from text.
 
     Bytes of a character of which the removal left a part go as well, and a text
     of which nothing is left is empty; null texts stay null.
     """
-    made = batch_map(_joined(docs), lambda: lambda raws, runs: [(cut(r, merged(x)).decode("utf-8", "ignore"),) for r, x in zip(raws, runs, strict=True)], "kept string", ["row"], ["raw", "runs"])
+    made = batch_map(_joined(docs, length), lambda: lambda raws, runs: [(cut(r, merged(x)).decode("utf-8", "ignore"),) for r, x in zip(raws, runs, strict=True)], "kept string", ["row"], ["raw", "runs"])
     columns = [F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     return made.select(*columns)
 

@@ -30,18 +30,19 @@ def corpus(seed):
     return texts
 
 
-def brute(texts):
+def brute_runs(texts, length):
     raws = [(t or "").encode() for t in texts]
-    seen = Counter(r[i : i + L] for r in raws for i in range(len(r) - L + 1))
-    out = []
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     for r in raws:
         gone = np.zeros(len(r) + 1, bool)
-        for i in range(len(r) - L + 1):
-            if seen[r[i : i + L]] > 1:
-                gone[i : i + L] = True
-        runs = m._runs(gone[:-1])
-        out.append((len(r), int(gone.sum()), len(runs), hashlib.sha256(m.cut(r, runs)).hexdigest()))
-    return out
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield r, m._runs(gone[:-1])
+
+
+def brute(texts):
+    return [(len(r), sum(b - a for a, b in runs), len(runs), hashlib.sha256(m.cut(r, runs)).hexdigest()) for r, runs in brute_runs(texts, L)]
 
 
 @pytest.mark.parametrize("text", ["z" * 900, "ab" * 700, noise(random.Random(1), 700), noise(random.Random(2), 3000) + "q" * 900])
@@ -52,7 +53,7 @@ def test_every_window_has_one_owner(text):
     h = m.gram_hashes(raw)
     for start, n, place, value in m.spans(raw):
         for s in range(start, start + n):
-            assert place == s + int(h[s : s + m.REACH].argmin()) and h[place] == value
+            assert place == s + int(h[s : s + m.reach(L)].argmin()) and h[place] == value
 
 
 def test_refine_against_counting():
@@ -93,6 +94,22 @@ def test_periodic_texts_are_few_rows(spark, table):
     assert [tuple(x)[1:] for x in sorted(got)] == brute(texts)
 
 
+@pytest.mark.parametrize("hot", [m.HOT, 2])
+def test_shorter_strings_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(m, "HOT", hot)
+    r = random.Random(5)
+    passages = [noise(r, n) for n in (250, 300, 390)]
+    texts = [None, "", "z" * 500, *(noise(r, r.randrange(200, 900)) for _ in range(20))]
+    for p in passages * 4:
+        texts.append(noise(r, r.randrange(300)) + p + noise(r, r.randrange(300)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in m.deduplicate(docs, 240).collect()}
+    for i, (raw, runs) in enumerate(brute_runs(texts, 240)):
+        assert (got[i] or "") == m.cut(raw, runs).decode("utf-8", "ignore")
+    assert all(p not in (t or "") for p in passages for t in got.values())
+    assert all(got[i] == texts[i] for i in range(3, 23))
+
+
 def test_empty(spark, table):
     folder = table("documents", spark.createDataFrame([], "doc_id bigint, text string"))
     assert m.op5_suffix_array_dedup(spark, folder).count() == 0
