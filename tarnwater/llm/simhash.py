@@ -46,16 +46,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwater.llm.common import durable, read_table, release, row_map, shuffle_partitions, small_batches, text_bytes
+from tarnwater.llm.common import durable, gathered, marked, read_table, release, row_map, shuffle_partitions, small_batches, text_bytes
 from tarnwater.llm.components import connected_components
 
 SHINGLE, LINK, BLOCKS = 3, 2, 6
 FANOUT = 8
 #: Runs up to this long are compared row by row; longer ones get an index.
 PLAIN = 12
+#: Fingerprints that are taken from Spark at a time.
+ROWS_AT_ONCE = 50_000
 #: Fingerprints that search an index at the same time.
 QUERIES_AT_ONCE = 2048
 #: Candidates of a likeness: bits, the most that differ, texts in a top node, the share of pairs of likeness 0.8 that meet in one, and texts in a part of a group.
@@ -84,8 +86,9 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
-    return row_map(docs.select("doc_id", text_bytes().alias("raw")), lambda: lambda raw: (signed(simhash(raw, shingle)),), "fp bigint", ["doc_id"], ["raw"])
+    """doc_id, key (the text's hash) and fp, the fingerprint as a signed 64-bit integer."""
+    source = docs.select("doc_id", text_hash().alias("key"), text_bytes().alias("raw"))
+    return row_map(source, lambda: lambda raw: (signed(simhash(raw, shingle)),), "fp bigint", ["doc_id", "key"], ["raw"])
 
 
 def shingle_set(raw: bytes, shingle: int) -> set[bytes]:
@@ -104,6 +107,10 @@ def wide_print(raw: bytes, shingle: int) -> tuple[int, int, int]:
     return n, hi, lo
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def text_key() -> Column:
     """A hash of the text's words, lower-cased and joined."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -111,9 +118,9 @@ def text_key() -> Column:
 
 
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (the text's key), and n, hi, lo of :func:`wide_print`."""
-    source = docs.select("doc_id", text_key().alias("fp"), text_bytes().alias("raw"))
-    return row_map(source, lambda: lambda raw: wide_print(raw, shingle), "n int, hi bigint, lo bigint", ["doc_id", "fp"], ["raw"])
+    """doc_id, key (the text's hash), fp (its key), and n, hi, lo of :func:`wide_print`."""
+    source = docs.select("doc_id", text_hash().alias("key"), text_key().alias("fp"), text_bytes().alias("raw"))
+    return row_map(source, lambda: lambda raw: wide_print(raw, shingle), "n int, hi bigint, lo bigint", ["doc_id", "key", "fp"], ["raw"])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -225,7 +232,6 @@ def links(fps: DataFrame) -> DataFrame:
     ``fps`` has one column fp of different values.
     """
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     tops = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_block_masks()))))
     dealt = (
         fps.select("fp", tops.alias("top"))
@@ -243,7 +249,7 @@ def links(fps: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
         rest = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        for batch in batches:
+        for batch in gathered(batches, ROWS_AT_ONCE):
             new = [batch.column("t").to_numpy(), batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
             t, key, fp = (np.concatenate(x) for x in zip(rest, new, strict=True))
             last = (t == t[-1]) & (key == key[-1]) if len(t) else np.zeros(0, bool)  # may go on in the next batch
@@ -314,7 +320,6 @@ def _by_key(run: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[Iter
 def candidates(prints: DataFrame, likeness: float) -> DataFrame:
     """src, dst: stars that join what a path of :func:`near_pairs` in any top node joins; ``prints`` has fp, n, hi and lo."""
     spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     masks = enumerate(table_masks(prints.count()))
     keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("hi").bitwiseAND(F.lit(signed(a))), F.col("lo").bitwiseAND(F.lit(signed(b)))) for t, (a, b) in masks)))
     dealt = prints.where("n > 0").select(keys.alias("key"), "fp", "n", "hi", "lo").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
@@ -327,18 +332,22 @@ def candidates(prints: DataFrame, likeness: float) -> DataFrame:
         linked = parent != np.arange(len(fp))
         return fp[linked], fp[parent[linked]]
 
-    return dealt.mapInArrow(_by_key(run), "src bigint, dst bigint").distinct()
+    by_key = _by_key(run)
+    return dealt.mapInArrow(lambda batches: by_key(gathered(batches, ROWS_AT_ONCE)), "src bigint, dst bigint").distinct()
 
 
 def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """src, dst: links between texts of ``likeness`` or more that join what a path of such links between candidates joins."""
+    """src, dst: links between texts of ``likeness`` or more that join what a path of such links between candidates joins.
+
+    ``prints`` has a row for each fp, with the hash of one of its texts as key.
+    """
     spark = docs.sparkSession
     groups = durable(connected_components(durable(candidates(prints, likeness), "simhash-near")).select(F.col("node").alias("fp"), "root"), "simhash-groups")
     parts = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
     groups = durable(groups.join(parts, "root").join(prints, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")), "simhash-parts")
-    texts = docs.select(text_key().alias("fp"), "text").join(groups.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = marked(docs.select(text_hash().alias("key"), "text"), F.col("key"), groups.select("key"), "some").where("some").groupBy("key").agg(F.min("text").alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    meets = groups.join(durable(texts, "simhash-texts"), "fp").withColumn("other", other)
+    meets = groups.join(texts, "key").withColumn("other", other)
     key = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
     meets = meets.select(key.alias("key"), "fp", "n", "hi", "lo", "part", (F.col("part") == F.col("other")).alias("own"), text_bytes().alias("raw"))
     meets = meets.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
@@ -375,44 +384,61 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
         return np.array(src, np.int64), np.array(dst, np.int64)
 
     small_batches(spark)
-    return meets.mapInArrow(_by_key(run), "src bigint, dst bigint")
+    found = durable(meets.mapInArrow(_by_key(run), "src bigint, dst bigint"), "simhash-alike")
+    release(groups)
+    return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, likeness: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``.
-
-    Without ``likeness`` texts link at ``LINK`` bits of their fingerprints fp; with
-    it at that Jaccard coefficient of their shingles, and fp is the text's key.
-    """
+def _classed(docs: DataFrame, shingle: int, likeness: float | None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key and fp of every row; fp, root and component_id of every different fp."""
     small_batches(docs.sparkSession)
     prints = durable(fingerprints(docs, shingle) if likeness is None else wide_prints(docs, shingle), "simhash")
-    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in prints.columns[2:])), "simhash-classes")
-    found = durable(links(classes.select("fp")) if likeness is None else alike_links(docs, classes.drop("first_id"), shingle, likeness), "simhash-links")
+    classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), *(F.min(c).alias(c) for c in prints.columns[3:])), "simhash-classes")
+    found = durable(links(classes.select("fp")), "simhash-links") if likeness is None else alike_links(docs, classes.drop("first_id"), shingle, likeness)
     roots = connected_components(found)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = durable(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = durable(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "simhash-ids")
+    ids = durable(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "simhash-ids")
     for x in (found, classes, rooted):
         release(x)
+    return prints.select("doc_id", "key", "fp"), ids
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, likeness: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs``.
+
+    Without ``likeness`` texts link at ``LINK`` bits of their fingerprints fp; with
+    it at that Jaccard coefficient of their shingles, and fp is the text's key.
+    """
+    prints, ids = _classed(docs, shingle, likeness)
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, likeness: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does: the one of the smallest doc_id.
 
-    Of rows that repeat this doc_id one stays, that of the smallest text hash.  A
-    group whose ids are all null keeps all its rows, as nothing tells them apart.
+    Null ids come after all others.  Rows are told apart by doc_id and text, so
+    unlike texts under one id stay or go on their own; of like texts under one id
+    that of the smallest hash stays, and of equal rows one.  Texts whose row certainly stays are not
+    shuffled: only rows that :func:`~tarnwater.llm.common.marked` finds among those that go meet these.
     """
-    found = durable(near_duplicates(docs, shingle, likeness), "simhash-found")
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = durable(kept.select(F.col("doc_id").alias("_kept"), "_n"), "simhash-kept")
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
-    if kept.where("_n > 1 AND _kept IS NOT NULL").isEmpty():
-        return stay
-    packed = stay.select("doc_id", F.struct("*").alias("_row"), F.xxhash64("text").alias("_hash"))
-    order = Window.partitionBy("doc_id").orderBy("_hash")
-    return packed.withColumn("_place", F.row_number().over(order)).where("_place = 1 OR doc_id IS NULL").select("_row.*")
+    prints, ids = _classed(docs, shingle, likeness)
+    rows = prints.groupBy("fp", "key", "doc_id").agg(F.count("*").alias("n"))
+    rows = durable(rows.join(ids.select("fp", "root"), "fp"), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    first = durable(rows.groupBy("root").agg(F.min(place).alias("first")), "simhash-first")
+    row_key = lambda i, key: F.xxhash64(F.coalesce(i, F.lit(-1)), i.isNull(), key)
+    judged = rows.join(first, "root").withColumn("stays", place == F.col("first")).where("NOT stays OR n > 1")
+    judged = durable(judged.select(row_key(F.col("doc_id"), F.col("key")).alias("_tarnwater_key"), "stays"), "simhash-go")
+    for x in (prints, ids, rows, first):
+        release(x)
+    packed = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), text_hash()).alias("key"))
+    packed = marked(packed, F.col("key"), judged.select("_tarnwater_key"), "some")
+    some = packed.where("some").join(judged, F.col("key") == F.col("_tarnwater_key"), "left")
+    once = some.where("_tarnwater_key IS NULL").select("row.*")
+    many = some.where("stays").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return packed.where("NOT some").select("row.*").union(once).union(many)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
