@@ -52,7 +52,22 @@ def test_documents_cases(spark, table):
     assert not same(spark, "op3_mixing_temperature", folder) and not same(spark, "op7_license_scan", folder)
 
 
-def test_conversation_cases(spark, table):
+def test_very_many_equal_turns(spark, table):
+    """Turns of one number, or of none, spread over the tasks and keep the order of role and text."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("7 AS conv_id", "if(id % 2 = 0, 3, null) AS turn", "'user' AS role", "if(id % 4 < 2, 'same', concat('t', id)) AS text")
+    folder = table("conversations", rows)
+    got = {r.chunk: r for r in chat.op8_chat_snapshots(spark, folder).collect()}
+    assert len(got) == -(-n // chat.CHUNK) and sum(r.n_turns for r in got.values()) == n
+    texts = "".join(got[k].rendered for k in sorted(got)).split("<|im_start|>user\n")[1:]
+    want = sorted((("same" if i % 4 < 2 else f"t{i}") for i in range(1, n, 2))) + sorted((("same" if i % 4 < 2 else f"t{i}") for i in range(0, n, 2)))
+    assert [t.removesuffix("<|im_end|>\n") for t in texts] == want
+    parts = chat._in_order(chat._light(rows).drop("text").withColumn("s", chat.F.monotonically_increasing_id()), ["cid", "turn", "role", "s"])
+    sizes = [r["count"] for r in parts.groupBy(chat.F.shiftright("at", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * n
+
+
+def test_conversation_cases(spark, table, monkeypatch):
     r = random.Random(2)
     rows = []
     for c in range(60):
@@ -63,5 +78,7 @@ def test_conversation_cases(spark, table):
     folder = table("conversations", spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, chunk string"))
     got = same(spark, "op8_chat_snapshots", folder)
     assert len({g[0] for g in got}) < 40 and sum(g[0] == 100 for g in got) == 3 and not any(g[0] == 101 for g in got)
+    monkeypatch.setattr(chat, "LONG", 10)  # both ways of rendering
+    assert len(same(spark, "op8_chat_snapshots", folder)) == len(got)
     folder = table("conversations", spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))
     assert not same(spark, "op8_chat_snapshots", folder)
