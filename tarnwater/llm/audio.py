@@ -12,8 +12,10 @@ the samples that are read back come
 * segments of sound by hysteresis: one opens where the frame energy rises over
   the upper level and closes where it falls under the lower one.
 
-:func:`clips` gives these as columns, the tensors as Arrow fixed-shape tensor
-storage (a fixed number of floats for each tensor).
+:func:`clips` gives these as columns.  Spark has no type of fixed shape, so a tensor
+is stored as the bytes of its Arrow fixed-shape tensor storage (FRAMES * MELS
+32-bit floats, little-endian), and the column's metadata states shape and type;
+:func:`tensor_array` makes the Arrow column of what is read back.
 
 Defined cases: a null or empty text is a clip of ``UNIT`` bytes of value 255;
 equal texts have equal values, as each clip is computed on its own; very long
@@ -31,6 +33,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwater.llm.common import batch_map, read_table, text_bytes
 
@@ -141,49 +144,50 @@ def analyse(stored: bytes) -> dict:
     second = HOP * DOWN / (RATE * UP)
     spans = [(a * second, (min(a + FRAMES, len(mels)) - 1) * second + SIZE / HOP * second) for a in range(0, full, FRAMES)]
     sound = [(a * second, (b + SIZE / HOP) * second) for a, b in segments(energy)]
-    return {"tensors": tensors.reshape(-1, FRAMES, MELS), "frames": len(mels), "spans": spans, "segments": sound, "mean": mels.mean(axis=0), "energy": energy}
+    return {"tensors": tensors.reshape(-1, FRAMES, MELS), "frames": len(mels), "spans": spans, "segments": sound}
 
 
-def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
-    """Arrow's fixed-shape tensor column over tensors of shape (FRAMES, MELS)."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors, np.float32))
+#: What the tensors' column says of its values.
+FORM = {"extension": "arrow.fixed_shape_tensor", "shape": [FRAMES, MELS], "type": "float32"}
 
 
-def clips(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, media (WAVE), tensors (start and end in seconds, values of shape FRAMES x MELS in row order) and segments."""
+def tensor_array(values: list[bytes]) -> pa.FixedShapeTensorArray:
+    """Arrow's fixed-shape tensor column over stored tensors."""
+    floats = pa.Array.from_buffers(pa.float32(), len(values) * FRAMES * MELS, [None, pa.py_buffer(b"".join(values))])
+    storage = pa.FixedSizeListArray.from_arrays(floats, FRAMES * MELS)
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), storage)
 
-    def make():
-        def many(raws):
-            out = []
-            for raw in raws:
-                media = to_wave(payload(raw))
-                got = analyse(media)
-                storage = tensor_array(got["tensors"]).storage.to_pylist()
-                rows = [{"start": a, "end": b, "values": v} for (a, b), v in zip(got["spans"], storage, strict=True)]
-                out.append((media, rows, [{"start": a, "end": b} for a, b in got["segments"]]))
-            return out
 
-        return many
+def clip(raw: bytes) -> tuple[bytes, int, list[dict], list[dict]]:
+    """The stored clip of a text, and frames, tensors and segments of what is read back from it."""
+    media = to_wave(payload(raw))
+    got = analyse(media)
+    tensors = [{"start": a, "end": b, "values": v.tobytes()} for (a, b), v in zip(got["spans"], got["tensors"].astype("<f4", copy=False), strict=True)]
+    return media, got["frames"], tensors, [{"start": a, "end": b} for a, b in got["segments"]]
 
-    schema = "media binary, tensors array<struct<start: double, end: double, `values`: array<float>>>, segments array<struct<start: double, end: double>>"
-    return batch_map(docs.select("*", text_bytes().alias("_tarnwater_raw")), make, schema, keep, ["_tarnwater_raw"])
 
+def clips(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, media (WAVE), frames (their number), tensors (start and end in seconds, values) and segments (start and end)."""
+    schema = "media binary, frames int, tensors array<struct<start: double, end: double, `values`: binary>>, segments array<struct<start: double, end: double>>"
+    made = batch_map(docs.select("*", text_bytes().alias("_tarnwater_raw")), lambda: lambda raws: [clip(r) for r in raws], schema, keep, ["_tarnwater_raw"])
+    return made.withMetadata("tensors", FORM)
 
-def digest(raw: bytes) -> tuple:
-    """The row of one text: stored, read back, analysed."""
-    media = to_wave(payload(raw))
+
+def digest(media: bytes, frames: int, tensors: list[dict], segments: list[dict]) -> tuple:
+    """What a clip's columns hold, as numbers, hashes and a short text."""
     back = from_wave(media)
-    got = analyse(media)
-    sound = sum(b - a for a, b in got["segments"])
-    summary = ",".join(f"{v:.2f}" for v in got["mean"].tolist())
-    feature = f"frames={got['frames']};tensors={len(got['tensors'])}x{FRAMES}x{MELS};segments={len(got['segments'])};sound={sound:.3f};logmel={summary}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    sound = sum([s["end"] - s["start"] for s in segments])
+    mels = tensor_array([t["values"] for t in tensors]).to_numpy_ndarray().reshape(-1, MELS)[:frames]
+    summary = ",".join([f"{v:.2f}" for v in mels.mean(axis=0).tolist()])
+    feature = f"frames={frames};tensors={len(tensors)}x{FRAMES}x{MELS};segments={len(segments)};sound={sound:.3f};logmel={summary}"
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", text_bytes().alias("raw"))
-    schema = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return batch_map(docs, lambda: lambda raws: [digest(r) for r in raws], schema, ["doc_id"], ["raw"])
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.length(text_bytes()).cast("bigint").alias("n_bytes"))
+    schema = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    columns = ["media", "frames", "tensors", "segments"]
+    return batch_map(clips(docs, ["doc_id", "n_bytes"]), lambda: lambda *c: [digest(*x) for x in zip(*c, strict=True)], schema, ["doc_id", "n_bytes"], columns)
 
 
 QUERIES = {"op9_audio_features": op9_audio_features}
