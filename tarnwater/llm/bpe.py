@@ -3,13 +3,13 @@
 The tokenizer file says what a token is; this module says in which pieces a text
 is encoded.
 
-A text, normalised as the file states, is the root of a tree; its halves are cut
-on their own, down to leaves of ``LEAF`` characters that end at any place (long
-texts do their leaves in a thread pool), and joins are mended on the way up: a
-window around the join, of 1, 2, 4, ... chunks of either side, is cut anew until
-its first chunk is the left side's chunk at that place and its last chunk the
-right side's.  A chunk is a run without white space; no match of the
-pre-tokeniser holds white space or looks past it, so a chunk's encoding depends
+A text, normalised as the file states, is the root of a tree; its halves are
+encoded on their own, down to leaves of ``LEAF`` characters that end at any place
+(long texts do their leaves in a thread pool), and joins are mended on the way up:
+a window around the join, of the tokens of 1, 2, 4, ... chunks of either side, is
+encoded anew until it begins with the left side's chunk and tokens at that place
+and ends with the right side's.  A chunk is a run without white space; no match of
+the pre-tokeniser holds white space or looks past it, so a chunk's encoding depends
 on the chunk alone, and from an agreed chunk on both sides are exact.
 
 A word of more than ``WORD_LEAF`` bytes, which the pre-tokeniser leaves unsplit,
@@ -19,8 +19,8 @@ is the encoding of its bytes exactly if each two neighbours encode to
 themselves, and all neighbours here stood next to each other in an exact
 encoding; so the agreed join is exact too.
 
-Chunks pass through the library's model once and are then kept in a bounded
-cache of the worker process.
+A leaf's chunks pass through the library's model once and are then kept in a
+bounded cache of the worker process.
 
 Defined cases: a null text counts as empty and has no tokens; text that spells a
 special token in its own case becomes that token, as in the library; repeated rows each get a
@@ -54,6 +54,8 @@ PLAIN = regex.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")
 
 #: What cuts a normalised text at white space.
 Split = Callable[[str], list[str]]
+#: What a node of the tree has: chunks, and the ids of each as bytes.
+Node = tuple[list[str], list[bytes]]
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -85,9 +87,10 @@ class Codec:
         self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.table = dict(enumerate(byte_characters()))
         self.marks = {c: self._word(c) for c in ".,"}
-        self.older: dict[str | tuple[str], bytes] = {}
-        self.cache: dict[str | tuple[str], bytes] = {}
-        self.specials = {(t["content"],): array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+        self.older: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self.specials = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+        self.joins = 0  #: of encoded halves so far
 
     # words
 
@@ -118,12 +121,10 @@ class Codec:
         chars = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
         return array("I", self.encode_run(chars)).tobytes()
 
-    def _learn(self, chunks: list[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Entries of chunks that the cache lacks."""
-        found = {c: self.specials[c] for c in chunks if c in self.specials}
+        found: dict[str, bytes] = {}
         for chunk in chunks:
-            if chunk in found:
-                continue
             word = chunk[:-1]
             if word.isalpha() and chunk[-1] in ".,":  # letters, then one mark: two words by the file's pattern
                 ids = self.cache.get(word) or self.older.get(word) or found.get(word)
@@ -140,30 +141,51 @@ class Codec:
         self.cache.update((c, e) for c, e in found.items() if len(c) <= CACHED_CHUNK)
         return found
 
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
+        got = list(map(self.cache.get, chunks))
+        if None not in got:
+            return got
+        missing: dict[str, None] = {}
+        for i, e in enumerate(got):
+            if e is None:
+                if (e := self.older.get(chunks[i])) is None:
+                    missing[chunks[i]] = None
+                else:
+                    got[i] = self.cache[chunks[i]] = e
+        found = self._learn(list(missing)) if missing else {}
+        return [found[c] if e is None else e for e, c in zip(got, chunks, strict=True)]
+
     # texts
 
-    def _mend(self, text: str, left: list[str], right: list[str], low: int, cut: int, high: int, split: Split) -> list[str]:
-        """The chunks of text[low:high] from those of text[low:cut] and text[cut:high]."""
+    def _leaf(self, text: str, split: Split) -> Node:
+        chunks = split(text)
+        return chunks, self.chunk_ids(chunks)
+
+    def _mend(self, text: str, left: Node, right: Node, low: int, cut: int, high: int, split: Split) -> Node:
+        """The node of text[low:high] from those of text[low:cut] and text[cut:high]."""
+        self.joins += 1
+        (a, a_ids), (b, b_ids) = left, right
         n, start, stop, i, j = 1, cut, cut, 0, 0
-        while n <= len(left) or n <= len(right):
-            while i < min(n, len(left)):  # between two chunks there is white space alone, so the last place is the place
+        while n <= len(a) or n <= len(b):
+            while i < min(n, len(a)):  # between two chunks there is white space alone, so the last place is the place
                 i += 1
-                start = text.rfind(left[-i], low, start)
-            while j < min(n, len(right)):
-                stop = text.find(right[j], stop, high) + len(right[j])
+                start = text.rfind(a[-i], low, start)
+            while j < min(n, len(b)):
+                stop = text.find(b[j], stop, high) + len(b[j])
                 j += 1
-            window = split(text[start:stop])
-            if window and (i == len(left) or window[0] == left[-i]) and (j == len(right) or window[-1] == right[j - 1]):
-                return left[: len(left) - i] + window + right[j:]
-            if i == len(left) and j == len(right):
-                return window
+            window, ids = self._leaf(text[start:stop], split)
+            begins = i == len(a) or (window and window[0] == a[-i] and ids[0] == a_ids[-i])
+            ends = j == len(b) or (window and window[-1] == b[j - 1] and ids[-1] == b_ids[j - 1])
+            if begins and ends:
+                return a[: len(a) - i] + window + b[j:], a_ids[: len(a) - i] + ids + b_ids[j:]
             n *= 2
-        return split(text[low:high])
+        return self._leaf(text[low:high], split)
 
-    def tree(self, text: str, split: Split) -> list[str]:
-        """The chunks of a normalised text, from leaves upward."""
+    def tree(self, text: str, split: Split) -> Node:
+        """The root of a normalised text, from leaves upward."""
         cuts = [*range(0, len(text), self.leaf), len(text)]
-        leaf = lambda i: split(text[cuts[i] : cuts[i + 1]])
+        leaf = lambda i: self._leaf(text[cuts[i] : cuts[i + 1]], split)
         if len(cuts) > POOLED:
             with ThreadPoolExecutor(THREADS) as pool:
                 level = list(pool.map(leaf, range(len(cuts) - 1)))
@@ -173,40 +195,33 @@ class Codec:
             joined = [self._mend(text, level[i], level[i + 1], cuts[i], cuts[i + 1], cuts[i + 2], split) for i in range(0, len(level) - 1, 2)]
             level = joined + level[len(level) & ~1 :]
             cuts = cuts[::2] if len(cuts) % 2 else [*cuts[::2], cuts[-1]]
-        return level[0] if level else []
+        return level[0] if level else ([], [])
 
-    def chunks(self, text: str) -> list[str | tuple[str]]:
-        """The text's chunks; a special token stands as a tuple, which no chunk of lower-cased text equals."""
+    def _parts(self, text: str) -> list[bytes]:
+        """The ids of the text's chunks and special tokens; these are recognised in the raw text alone."""
         if "<|" in text and (found := [*self.special.finditer(text)]):
             out, at = [], 0
             for m in found:
-                out += [*self.chunks(text[at : m.start()]), (m[0],)]
+                out += [*self._parts(text[at : m.start()]), self.specials[m[0]]]
                 at = m.end()
-            return out + self.chunks(text[at:])
+            return out + self._parts(text[at:])
         if PLAIN.fullmatch(text):
-            return self.tree(text.lower(), str.split)
-        return self.tree(self.library.normalizer.normalize_str(text), lambda x: [c for c in x.split(" ") if c])
+            return self.tree(text.lower(), str.split)[1]
+        return self.tree(self.library.normalizer.normalize_str(text), lambda x: [c for c in x.split(" ") if c])[1]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        cached, out, missing = self.cache.get, [], {}
-        for text in texts:
-            chunks = self.chunks(text or "")
-            got = list(map(cached, chunks))
-            lacks = chunks if None in got else None
-            if lacks:
-                for i, e in enumerate(got):
-                    if e is None:
-                        if (e := self.older.get(chunks[i])) is None:
-                            missing[chunks[i]] = None
-                        else:
-                            got[i] = self.cache[chunks[i]] = e
-            out.append((got, lacks))
-        found = self._learn(list(missing)) if missing else {}
-        for got, lacks in out:
-            if lacks:
-                got[:] = [found[c] if e is None else e for e, c in zip(got, lacks, strict=True)]
-        return [np.frombuffer(b"".join(got), "<u4") for got, _ in out]
+        """The ids of each text.
+
+        Nothing here makes cycles, and walks of the collector over the cache would
+        cost more than the lookups, so it rests meanwhile.
+        """
+        resting = not gc.isenabled()
+        gc.disable()
+        try:
+            return [np.frombuffer(b"".join(self._parts(text or "")), "<u4") for text in texts]
+        finally:
+            if not resting:
+                gc.enable()
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -224,11 +239,7 @@ class Codec:
 
 @functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """One codec for each worker process, which keeps its cache from task to task.
-
-    Nothing here makes cycles, and walks of the collector over the cache would cost more than the lookups.
-    """
-    gc.disable()
+    """One codec for each worker process, which keeps its cache from task to task."""
     return Codec(path)
 
 

@@ -29,6 +29,19 @@ def test_like_the_library(leaf, word_leaf):
         assert codec.digests([text])[0] == (len(want), ids, hashlib.sha256(codec.decode(want).encode()).hexdigest())
 
 
+def test_ordinary_long_texts_are_joined_from_tokens():
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdehilnorst") for _ in range(r.randint(2, 9))) for _ in range(3000))
+    codec = m.Codec(m.vocabulary())
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text).tolist() == want and codec.joins == len(text) // m.LEAF
+    seen = []
+    codec.chunk_ids, plain = (lambda chunks: seen.append(len(chunks)) or plain(chunks)), codec.chunk_ids
+    assert codec.encode(text).tolist() == want
+    leaves = len(text) // m.LEAF + 1
+    assert len(seen) >= 2 * leaves - 1 and max(seen) < 1000  # leaves, and a small window for each join
+
+
 def test_query(spark, table):
     rows = [(i, t, "en") for i, t in enumerate(ODD)] + [(None, None, None), (0, "", "en"), (99, "long words " * 20_000, "en")]
     folder = table("documents", spark.createDataFrame(rows, "doc_id bigint, text string, ids string"))
