@@ -4,12 +4,14 @@ A document's score is linear in :func:`features` of its whole text.  The weights
 maximise the Bradley-Terry likelihood of preference pairs, each a text labelled 1
 and one labelled 0 of the training rows: logistic loss on the difference of
 their features.  The threshold is the score quantile at the training rows' share
-of label 0, and :meth:`Ranker.score` maps a score to 0..1 with 0.5 at the
-threshold.
+of label 0; where the classes hardly overlap (nine tenths of the rows labelled 0
+score under nine tenths of those labelled 1), any place in the gap between two
+neighbouring scores is that quantile, and its middle is taken.
+:meth:`Ranker.score` maps a score to 0..1 with 0.5 at the threshold.
 
 Labels are learnt from a bounded sample: at most ``SAMPLE`` labelled rows of
 either class, those with the smallest hash of doc_id, so the sample is the same
-in every run.  Only doc_id (to find the label and the fold) and text are read;
+in every run; of repeated ids one row.  Only doc_id (to find the label and the fold) and text are read;
 doc_id never enters a feature.
 
 Defined cases: null texts count as empty and have features of their own; labels
@@ -20,7 +22,7 @@ labels of both classes every score is 0.5 and every prediction 1.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwater.llm.common import batch_map, crc_mod, read_table, text_bytes
@@ -97,13 +99,22 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker:
     return Ranker(centre, scale, weights, threshold, max(float(spread), 1e-6))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: Column, most: tuple[int, int]) -> DataFrame:
-    """raw, label and doc_id of at most ``most`` labelled rows of class 0 and of class 1, by the hash of doc_id."""
-    rows = labels.where(fold & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label"))
+def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: Column, most: tuple[int, int], longest: int | None = None, in_all: int | None = None) -> DataFrame:
+    """raw, label and doc_id of at most ``most`` labelled rows of class 0 and of class 1, by the hash of doc_id.
+
+    One row for an id: of several, that of the least label and text.  ``longest``
+    and ``in_all`` bound the bytes of a text and, by the hash, of all of them.
+    """
+    rows = labels.where(fold & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(column).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     parts = [rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(most[k]) for k in (0, 1)]
     chosen = parts[0].union(parts[1])  # at most sum(most) rows, so it may be broadcast
-    return docs.select("doc_id", text_bytes().alias("raw")).join(F.broadcast(chosen), "doc_id").select("raw", "label", F.col("doc_id"))
+    texts = docs.select("doc_id", text_bytes().alias("raw"))
+    if longest is not None:
+        texts = texts.where(F.length("raw") <= longest)
+        sizes = texts.select("doc_id", F.length("raw").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("n").alias("n"))
+        chosen = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(order, "doc_id"))).where(F.col("upto") <= in_all).select("doc_id", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("raw").alias("raw")).select("raw", "label", "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, sample: int = SAMPLE) -> Ranker:

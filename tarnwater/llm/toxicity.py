@@ -2,21 +2,26 @@
 
 A text is lower-cased (A-Z), every ASCII character that is not a letter becomes
 a space, and the words are cut into windows of ``WINDOW`` words every ``STRIDE``
-words, so windows overlap; the last one ends with the text.  Each word enters as
-its own vector (words of the training vocabulary; all others share one) next to
-vectors of its characters: of its first four bytes, its first six and its last
-four.  Two gated recurrent layers run over the window
-in both directions, attention weighs the states, and a linear unit gives the
-window's logit.  A text scores as its highest window: all windows of the whole
-text are scored.
+words, half a window, so windows overlap; the last one ends with the text.  Each
+word enters as its own vector (words of the training vocabulary, told apart by a
+hash of the whole word; all others share one) next to the mean of the vectors of
+its character trigrams, the word's edges included.  Two gated recurrent layers run
+over the window in both directions, attention weighs the states, and a linear unit
+gives the window's logit.  A text scores as its highest window: all windows of the
+whole text are scored.
 
 Learning is back-propagation through time with Adam, first on all windows under
 their text's label, then on each text's highest window (and random other ones of
-texts labelled 0), as a toxic text need not be toxic throughout.  Labels are
-learnt from a bounded sample: at most ``SAMPLE`` labelled rows of class 1 and
-``NEGATIVES`` of class 0, those with the smallest hash of doc_id.  A text of the sample gives at most
-``TRAIN_WINDOWS`` windows to an epoch, drawn anew each time; scoring has no such
-bound.  Only doc_id (to find label and fold) and text are read.
+texts labelled 0), as a toxic text need not be toxic throughout.  In an epoch of
+learning, windows lie end to end from a place drawn anew, so each covers the whole
+of every text of the sample.  Small samples are gone over more often: epochs are
+multiplied by 2000 / texts, rounded, at least 1 and at most 5.
+
+Labels are learnt from a bounded sample: at most ``SAMPLE`` labelled rows of class 1
+and ``NEGATIVES`` of class 0, those with the smallest hash of doc_id, of texts of at
+most ``LONGEST`` bytes and, in the order of the hash, ``SAMPLE_BYTES`` in all; of
+repeated ids one row.  This bounds what the driver holds.  Nothing else is bounded:
+every row is scored.  Only doc_id (to find label and fold) and text are read.
 
 Defined cases: null, empty and wordless texts are one window of no words and
 score as the network's bias alone; labels that are null or not 0 or 1 are left
@@ -33,12 +38,13 @@ from pyspark.sql import functions as F
 from tarnwater.llm.common import batch_map, crc_mod, read_table, text_bytes
 from tarnwater.llm.quality import labelled
 
-SAMPLE, NEGATIVES, TRAIN_WINDOWS = 1500, 3500, 12
-WINDOW, STRIDE = 32, 28
-WORDS, LEAST_TEXTS, _SLOT_BITS = 8192, 4, 12
+SAMPLE, NEGATIVES = 1500, 3500
+SAMPLE_BYTES, LONGEST = 16 << 20, 1 << 17
+WINDOW, STRIDE = 32, 16
+WORDS, LEAST_TEXTS, _SLOT_BITS = 8192, 4, 13
 SLOTS = 1 << _SLOT_BITS
-WORD_DIM, CHAR_DIM, H, ATT = 12, 4, 8, 8
-D = WORD_DIM + 3 * CHAR_DIM
+WORD_DIM, CHAR_DIM, H, ATT = 12, 8, 8, 8
+D = WORD_DIM + CHAR_DIM
 EPOCHS, ALL_EPOCHS, RATE, DROP = 9, 2, 0.01, 0.15
 #: Windows that the network takes at a time.
 TOGETHER = 2048
@@ -47,22 +53,40 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def inputs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (its first and last eight bytes and its length), and its three character slots (words, 3)."""
-    text = b"        " + raw.translate(_LETTERS) + b"        "
-    letter = np.frombuffer(text, np.uint8) != 32
-    change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-    a, b = change[::2], change[1::2]
-    eights = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))  # the eight bytes from each place on
-    cut = (8 * (8 - np.minimum(b - a, 8))).astype(np.uint64)
-    first, last, size = (eights[a] << cut) >> cut, (eights[b - 8] >> cut) << cut, (b - a).astype(np.uint64)
-    h = (first ^ (last * _MIX) ^ size) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
-    slots = np.empty((len(a), 3), np.int32)
-    keys = (first & np.uint64(0xFFFFFFFF), first & np.uint64(0xFFFFFFFFFFFF), last >> np.uint64(32))
-    for k, key in enumerate(keys):
-        slots[:, k] = (key * _MIX) >> np.uint64(64 - _SLOT_BITS)
-    return h, slots
+class Words:
+    """The words of some texts.
+
+    ``of`` has the number of each word among the different ones, text after text,
+    and ``sizes`` the words of each text.  A different word has a hash, and its
+    trigrams' slots stand in ``slots`` from ``first`` on, ``length`` of them.  One
+    more word and place at the end stand for none.
+    """
+
+    def __init__(self, raws: list[bytes]):
+        text = np.frombuffer(b" " + b" ".join(r.translate(_LETTERS) for r in raws) + b"  ", np.uint8)
+        letter = text != 32
+        change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        start, length = change[::2], change[1::2] - change[::2]
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        self.sizes = np.diff(np.searchsorted(start, ends), prepend=0)
+        before = np.cumsum(length) - length
+        place = np.arange(length.sum()) - np.repeat(before, length)
+        power = np.multiply.accumulate(np.full(int(length.max(initial=0)) + 1, _MIX))
+        h = np.add.reduceat(text[letter] * power[place], before) if len(start) else np.zeros(0, np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h, at, of = np.unique(h ^ (h >> np.uint64(31)), return_index=True, return_inverse=True)
+        self.hashes, self.of = np.append(h, np.uint64(0)), np.append(of, len(h)).astype(np.int32)
+        start, self.length = start[at], np.append(length[at], 1)
+        self.first = np.cumsum(self.length) - self.length
+        grams = np.repeat(start - 1 - self.first[:-1], self.length[:-1]) + np.arange(self.first[-1])
+        key = text[grams] | text[grams + 1].astype(np.uint64) << np.uint64(8) | text[grams + 2].astype(np.uint64) << np.uint64(16)
+        self.slots = np.append(((key * _MIX) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32), 0)
+
+    def trigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of different words, one after the other, and where each begins."""
+        n = self.length[words]
+        begin = np.cumsum(n) - n
+        return self.slots[np.repeat(self.first[words] - begin, n) + np.arange(n.sum())], begin
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -86,7 +110,7 @@ class Network:
         random = np.random.default_rng(seed)
         make = lambda *shape, s=None: (random.standard_normal(shape) * (s or shape[0] ** -0.5)).astype(np.float32)
         self.vocabulary = vocabulary  # hashes, ascending; word i has row i + 1
-        self.p = {"word": make(len(vocabulary) + 1, WORD_DIM, s=0.1), "char": make(3 * SLOTS, CHAR_DIM, s=0.1)}
+        self.p = {"word": make(len(vocabulary) + 1, WORD_DIM, s=0.1), "char": make(SLOTS, CHAR_DIM, s=0.2)}
         for side in "fb":
             self.p |= {f"x{side}": make(D, 3 * H), f"h{side}": make(H, 3 * H), f"c{side}": np.zeros(3 * H, np.float32)}
         self.p |= {"att": make(2 * H, ATT), "ask": make(ATT, 1), "out": make(2 * H, 1), "bias": np.zeros(1, np.float32)}
@@ -98,12 +122,14 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
 
-    def embed(self, word: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        x = np.empty((len(word), D), np.float32)
-        x[:, :WORD_DIM] = self.p["word"][word]
-        for k in range(3):
-            x[:, WORD_DIM + k * CHAR_DIM : WORD_DIM + (k + 1) * CHAR_DIM] = self.p["char"][slots[:, k] + k * SLOTS]
-        return x
+    def characters(self, words: Words, different: np.ndarray) -> np.ndarray:
+        """The mean vector of the trigrams of different words."""
+        slots, begin = words.trigrams(different)
+        return np.add.reduceat(self.p["char"][slots], begin) / words.length[different][:, None].astype(np.float32)
+
+    def embed(self, words: Words) -> np.ndarray:
+        """The vectors of all different words."""
+        return np.concatenate([self.p["word"][self.rows(words.hashes)], self.characters(words, np.arange(len(words.hashes)))], axis=1)
 
     def _states(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """States of one direction, shape (WINDOW, windows, H); x: embedded words, time first."""
@@ -140,17 +166,18 @@ class Network:
             keep |= {"x": x, "mask": mask, "steps": steps, "s": s, "a": a, "w": w, "pooled": pooled}
         return (pooled @ self.p["out"])[:, 0] + self.p["bias"]
 
-    def logits(self, x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """As :meth:`forward` without what learning needs, with windows along the last axis."""
-        n = x.shape[1]
+    def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """What words give to the gates of both directions, a column for each of the ``vectors``."""
+        return {side: np.ascontiguousarray((vectors @ self.p["x" + side] + self.p["c" + side]).T) for side in "fb"}
+
+    def logits(self, table: dict[str, np.ndarray], words: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """As :meth:`forward` without what learning needs; ``words`` (WINDOW, windows) are columns of the :meth:`gates` table."""
+        x, n = words, words.shape[1]
         s = np.empty((len(x), 2 * H, n), np.float32)
-        across = x.transpose(0, 2, 1)
         for k, side in enumerate("fb"):
-            gates = np.matmul(self.p["x" + side].T, across)
-            gates += self.p["c" + side][:, None]
             u, h = np.ascontiguousarray(self.p["h" + side].T), np.zeros((H, n), np.float32)
             for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-                g, hu = gates[t], u @ h
+                g, hu = table[side].take(x[t], axis=1), u @ h
                 zr = g[: 2 * H]
                 zr += hu[: 2 * H]
                 zr *= np.float32(0.5)
@@ -213,22 +240,24 @@ class Network:
         at = np.minimum(starts + np.where(inside, step, 0), words - 1)
         return at, None if inside.all() else inside[:, :, None]
 
+    def window_logits(self, words: Words, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The logits of windows, given by first words and lengths."""
+        table, logits = self.gates(self.embed(words)), np.empty(len(starts), np.float32)
+        for group in (np.flatnonzero(lengths == WINDOW), np.flatnonzero(lengths < WINDOW)):
+            for i in range(0, len(group), TOGETHER):
+                part = group[i : i + TOGETHER]
+                at, mask = self.gather(len(words.of), starts[part], lengths[part])
+                logits[part] = self.logits(table, words.of[at], mask)
+        return logits
+
     def scores(self, raws: list[bytes]) -> np.ndarray:
         """The highest window's probability of each text."""
-        got = [inputs(r) for r in raws]
-        sizes = np.array([len(h) for h, _ in got], np.int64)
-        offsets = np.cumsum(sizes) - sizes
-        x = self.embed(self.rows(np.concatenate([*(h for h, _ in got), np.zeros(1, np.uint64)])), np.concatenate([*(s for _, s in got), np.zeros((1, 3), np.int32)]))
-        firsts = [windows_of(n) for n in sizes.tolist()]
+        words = Words(raws)
+        offsets = np.cumsum(words.sizes) - words.sizes
+        firsts = [windows_of(n) for n in words.sizes.tolist()]
         counts = np.array([len(f) for f in firsts], np.int64)
         starts = np.concatenate([f + o for f, o in zip(firsts, offsets.tolist(), strict=True)] or [np.zeros(0, np.int64)])
-        lengths = np.repeat(np.minimum(sizes, WINDOW), counts)
-        logits = np.empty(len(starts), np.float32)
-        for group in (np.flatnonzero(lengths == WINDOW), np.flatnonzero(lengths < WINDOW)):
-            for i in range(0, len(group), TOGETHER):
-                part = group[i : i + TOGETHER]
-                at, mask = self.gather(len(x), starts[part], lengths[part])
-                logits[part] = self.logits(x[at], mask)
+        logits = self.window_logits(words, starts, np.repeat(np.minimum(words.sizes, WINDOW), counts))
         top = np.maximum.reduceat(logits, np.cumsum(counts) - counts) if len(counts) else logits
         return 1 / (1 + np.exp(-top.astype(np.float64)))
 
@@ -250,61 +279,71 @@ def fit(raws: list[bytes], y: np.ndarray, seed: int = 11, epochs: int = EPOCHS)
     return net
 
 
+def _vocabulary(words: Words) -> np.ndarray:
+    """Hashes of the words that most texts have, ``LEAST_TEXTS`` at least, ascending."""
+    text = np.repeat(np.arange(len(words.sizes)), words.sizes)
+    pairs = np.unique(text * len(words.hashes) + words.of[:-1]) % len(words.hashes)
+    texts = np.bincount(pairs, minlength=len(words.hashes))
+    common = np.lexsort((words.hashes, -texts))[:WORDS]
+    return np.sort(words.hashes[common[texts[common] >= LEAST_TEXTS]])
+
+
+def _end_to_end(n: int, random: np.random.Generator) -> np.ndarray:
+    """First words of windows that cover a text of n words, end to end from a random place."""
+    if n <= WINDOW:
+        return np.zeros(1, np.int64)
+    return np.unique(np.clip(np.arange(-random.integers(WINDOW), n, WINDOW), 0, n - WINDOW))
+
+
 def _fit(raws: list[bytes], y: np.ndarray, seed: int, epochs: int) -> Network:
     random = np.random.default_rng(seed)
-    got = [inputs(r) for r in raws]
-    seen = np.concatenate([np.unique(h) for h, _ in got] or [np.zeros(0, np.uint64)])
-    hashes, texts = np.unique(seen, return_counts=True)
-    common = np.lexsort((hashes, -texts))[:WORDS]
-    net = Network(np.sort(hashes[common[texts[common] >= LEAST_TEXTS]]))
+    words = Words(raws)
+    net = Network(_vocabulary(words))
     if not y.any() or y.all():
         net.p["bias"][:] = -np.inf
         return net
-    words = [net.rows(h) for h, _ in got]
-    sizes = np.array([len(w) for w in words], np.int64)
+    row, of, sizes = net.rows(words.hashes), words.of, words.sizes
     offsets = np.cumsum(sizes) - sizes
-    word, slots = np.concatenate([*words, np.zeros(1, np.int32)]), np.concatenate([*(s for _, s in got), np.zeros((1, 3), np.int32)])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, times = 0, max(1, min(5, round(2000 / len(raws))))  # few texts are gone over more often
+    step, times = 0, max(1, min(5, round(2000 / len(raws))))
     epochs, early = epochs * times, ALL_EPOCHS * times
     for epoch in range(epochs):
-        of, starts = [], []
-        for i in range(len(raws)):
-            f = windows_of(int(sizes[i]))
-            f = f if len(f) <= TRAIN_WINDOWS else np.sort(random.choice(f, TRAIN_WINDOWS, replace=False))
-            starts.append(f + offsets[i])
-            of.append(np.full(len(f), i))
-        of, starts = np.concatenate(of), np.concatenate(starts)
-        lengths = np.minimum(sizes[of], WINDOW)
-        share = np.ones(len(of), np.float32)
+        begins = [_end_to_end(n, random) for n in sizes.tolist()]
+        text = np.repeat(np.arange(len(raws)), [len(b) for b in begins])
+        starts = np.concatenate(begins) + offsets[text]
+        lengths = np.minimum(sizes[text], WINDOW)
+        share = np.ones(len(text), np.float32)
         if epoch >= early:
-            x = net.embed(word, slots)
-            logits = np.concatenate([net.logits(x[at], m) for i in range(0, len(of), TOGETHER) for at, m in [net.gather(len(word), starts[i : i + TOGETHER], lengths[i : i + TOGETHER])]])
-            order = np.lexsort((-logits, of))
-            top = np.zeros(len(of), bool)
-            top[order[np.r_[True, of[order][1:] != of[order][:-1]]]] = True
-            pick = np.flatnonzero(top | ((y[of] == 0) & (random.random(len(of)) < 0.25)))
+            logits = net.window_logits(words, starts, lengths)
+            order = np.lexsort((-logits, text))
+            top = np.zeros(len(text), bool)
+            top[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
+            pick = np.flatnonzero(top | ((y[text] == 0) & (random.random(len(text)) < 0.25)))
         else:
-            pick = np.arange(len(of))
-            share = 1 / np.bincount(of)[of].astype(np.float32) * 4
+            pick = np.arange(len(text))
+            share = 1 / np.bincount(text)[text].astype(np.float32) * 4
         pick = random.permutation(pick)
         for i in range(0, len(pick), 192):
             part = pick[i : i + 192]
-            at, mask = net.gather(len(word), starts[part], lengths[part])
-            w, c = np.where(random.random(at.shape) < DROP, 0, word[at]), slots[at]  # some words as if unknown
+            at, mask = net.gather(len(of), starts[part], lengths[part])
+            different, which = np.unique(of[at], return_inverse=True)
+            which = which.reshape(at.shape)
+            w = np.where(random.random(at.shape) < DROP, 0, row[different][which])  # some words as if unknown
+            x = np.concatenate([net.p["word"][w], net.characters(words, different)[which]], axis=2)
             keep: dict = {}
-            logit = net.forward(net.embed(w.ravel(), c.reshape(-1, 3)).reshape(WINDOW, -1, D), mask, keep)
-            slope = ((1 / (1 + np.exp(-logit)) - y[of[part]]) * weight[of[part]] * share[part] / len(part)).astype(np.float32)
+            logit = net.forward(x, mask, keep)
+            slope = ((1 / (1 + np.exp(-logit)) - y[text[part]]) * weight[text[part]] * share[part] / len(part)).astype(np.float32)
             grad, dx = net.backward(keep, slope)
             if mask is not None:
                 dx = dx * mask
-            dx = dx.reshape(-1, D)
             grad["word"], grad["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grad["word"], w.ravel(), dx[:, :WORD_DIM])
-            for k in range(3):
-                np.add.at(grad["char"], c.reshape(-1, 3)[:, k] + k * SLOTS, dx[:, WORD_DIM + k * CHAR_DIM : WORD_DIM + (k + 1) * CHAR_DIM])
+            np.add.at(grad["word"], w.ravel(), dx[:, :, :WORD_DIM].reshape(-1, WORD_DIM))
+            each = np.zeros((len(different), CHAR_DIM), np.float32)
+            np.add.at(each, which.ravel(), dx[:, :, WORD_DIM:].reshape(-1, CHAR_DIM))
+            length = words.length[different]
+            np.add.at(grad["char"], words.trigrams(different)[0], np.repeat(each / length[:, None].astype(np.float32), length, axis=0))
             step += 1
             rate = RATE * min(1, 2 * (1 - epoch / epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grad.items():
@@ -316,8 +355,8 @@ def _fit(raws: list[bytes], y: np.ndarray, seed: int, epochs: int) -> Network:
 
 def train(docs: DataFrame, labels: DataFrame, fold, sample: tuple[int, int] = (NEGATIVES, SAMPLE)) -> Network:
     """Fit on the labelled rows for which ``fold`` (an expression on doc_id) holds."""
-    got = labelled(docs, labels, "toxic", fold, sample).collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.raw)))
+    got = labelled(docs, labels, "toxic", fold, sample, LONGEST, SAMPLE_BYTES).collect()
+    got.sort(key=lambda r: r.doc_id)
     return fit([bytes(r.raw) for r in got], np.array([r.label for r in got], np.float32))
 
 

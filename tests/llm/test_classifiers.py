@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -32,9 +33,9 @@ def test_gradients():
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
     random = np.random.default_rng(1)
-    word, slots = random.integers(0, 40, 99), random.integers(0, toxicity.SLOTS, (99, 3))
+    vectors = random.standard_normal((99, toxicity.D))
     at, mask = net.gather(99, np.array([0, 5, 90]), np.array([32, 20, 7]))
-    x = net.embed(word, slots)[at].astype(np.float64)
+    x = vectors[at]
     keep, slope = {}, np.array([0.3, -0.5, 0.7])
     net.forward(x, mask, keep)
     grad, _ = net.backward(keep, slope)
@@ -47,7 +48,53 @@ def test_gradients():
         down = net.forward(x, mask) @ slope
         net.p[k][i] = old
         assert g[i] == pytest.approx((up - down) / 2e-4, rel=1e-3)
-    assert np.allclose(net.forward(x, mask), net.logits(x, mask), atol=1e-5)
+    assert np.allclose(net.forward(x, mask), net.logits(net.gates(vectors), at, mask), atol=1e-5)
+
+
+def test_words_and_trigrams_by_definition():
+    raws = [b"The cat's  hat", b"", b"  hat xABCDEFGHIJKLMNOPQRSTUVWXYZy xabcdefghijkl-nopqrstuvwxyzy \xc3\xa9t\xc3\xa9 a", b"cat", b"x" * 9000]
+    w = toxicity.Words(raws)
+    words = [re.findall(rb"[a-z\x80-\xff]+", r.lower()) for r in raws]
+    assert w.sizes.tolist() == [len(x) for x in words]
+    flat = [x for row in words for x in row]
+    assert len(set(w.of[:-1].tolist())) == len(set(flat)) == len(set(w.hashes[:-1].tolist()))
+    for i, word in enumerate(flat):
+        same = [j for j, x in enumerate(flat) if x == word]
+        assert {j for j in range(len(flat)) if w.of[j] == w.of[i]} == set(same)
+        edged = b" " + word + b" "
+        grams = [int.from_bytes(edged[k : k + 3], "little") for k in range(len(word))]
+        assert w.trigrams(w.of[i : i + 1])[0].tolist() == [(g * int(toxicity._MIX) % 2**64) >> (64 - toxicity._SLOT_BITS) for g in grams]
+    assert toxicity.Words([]).sizes.tolist() == [] and toxicity.Words([b"", b"."]).sizes.tolist() == [0, 0]
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(50)] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2 + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    from pyspark.sql import functions as F
+
+    got = quality.labelled(docs, labels, "toxic", F.lit(True), (10, 20)).collect()
+    assert sorted(r.label for r in got) == [0] * 10 + [1] * 20 and len({r.doc_id for r in got}) == 30
+    some = quality.labelled(docs, labels, "toxic", F.lit(True), (10, 20), 45, 400).collect()
+    assert 0 < sum(len(r.raw) for r in some) <= 400 and max(len(r.raw) for r in some) <= 45 and {r.doc_id for r in some} <= {r.doc_id for r in got}
+
+
+def test_phrase_of_several_words_at_any_place():
+    """A phrase whose words are all common in clean texts, over window edges as well."""
+    random = np.random.default_rng(4)
+    common = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(8)]
+    phrase = [common[i] for i in (3, 17, 29, 8)]
+
+    def text(n, toxic):
+        words = list(random.choice(common, n))
+        for _ in range(toxic):
+            k = random.integers(n - 4)
+            words[k : k + 4] = phrase
+        return " ".join(words).encode()
+
+    y = np.arange(700) % 2
+    net = toxicity.fit([text(120, int(t)) for t in y], y.astype(np.float32), epochs=14)
+    truth = np.arange(300) % 2
+    assert (((net.scores([text(150, int(t)) for t in truth]) >= 0.5) == truth).mean()) > 0.85
 
 
 def test_windows_cover_the_text():
