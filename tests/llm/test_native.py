@@ -52,6 +52,28 @@ def test_documents_cases(spark, table):
     assert not same(spark, "op3_mixing_temperature", folder) and not same(spark, "op7_license_scan", folder)
 
 
+def test_wrapped_and_whole_licences(spark, table):
+    t = dict(licenses.TEMPLATES)
+    mit = "Copyright (c) 2020 Some One\n\n" + t["mit-text"]
+    odd = licenses.normalise(t["isc-text"])
+    rows = [
+        (1, "some words first.\nThis work is licensed under the GNU\nGeneral Public License,\n * version 3.\nand more"),
+        (2, "Short one. Released under the MIT License. Another short one."),
+        (3, mit), (4, "intro words " * 5000 + mit + " more words" * 5000), (5, t["mit-text"] * 3),
+        (6, " ".join(w for i, w in enumerate(odd) if i % 20)), (7, " ".join(odd[: len(odd) * 3 // 4])), (8, " ".join(odd[: len(odd) // 2])), (9, "license software copyright permission"),
+        (10, t["bsd-2-clause-text"]), (None, t["zlib-text"].upper()), (None, t["zlib-text"].upper()),
+    ]
+    folder = table("documents", spark.createDataFrame([(*x, "k", 0) for x in rows], "doc_id bigint, text string, license string, p int"))
+    got = same(spark, "op7_license_scan", folder)
+    found = sorted((g[0] or 0, g[3]) for g in got)
+    assert found == sorted(
+        [(0, "zlib-text")] * 2 + [(1, "gpl-3.0"), (2, "mit"), (3, "mit-text"), (4, "mit-text")] + [(5, "mit-text")] * 3 + [(6, "isc-text"), (7, "isc-text"), (10, "bsd-2-clause-text"), (10, "bsd-3-clause-text")]
+    )
+    assert next(g for g in got if g[0] == 4)[1] == 10_000 + 5 and all(0.8 <= g[4] <= 1 for g in got)
+    crowd = spark.createDataFrame([(1, "Released under the MIT License. " * 3000)], "doc_id bigint, text string")
+    assert licenses.scan(crowd).where("license = 'mit' AND dice = 1").count() == 3000
+
+
 def test_very_many_equal_turns(spark, table):
     """Turns of one number, or of none, spread over the tasks and keep the order of role and text."""
     n = 100_000
