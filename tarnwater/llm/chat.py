@@ -52,7 +52,7 @@ def _light(conversations: DataFrame) -> DataFrame:
 def _in_order(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
     """``rows`` as a table with the ascending number ``at`` in the order of the keys, nulls first; tied rows may stand in any order."""
     order = [F.asc_nulls_first(k) for k in keys]
-    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order)
     return durable(dealt.withColumn("at", F.monotonically_increasing_id()), "chat-order")
 
 
@@ -109,7 +109,6 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, chunk, n_turns, rendered: the maximal conversations, ``CHUNK`` turns to a row."""
-    spark = conversations.sparkSession
     rolled = durable(turns(conversations), "chat-rolled")
     kept = durable(maximal(rolled), "chat-kept")
     places = rolled.join(kept, "cid", "left_semi").groupBy(*_TURN).agg(F.min("position").alias("first"), F.count("*").alias("copies"))  # equal turns are neighbours
@@ -117,7 +116,7 @@ def render(conversations: DataFrame) -> DataFrame:
     release(rolled)
     texts = _light(conversations).select(*_TURN, "text", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("copies"))
     rows = places.select(*_TURN, F.lit(None).cast("string").alias("text"), "first", "copies").union(texts)
-    by_cid = lambda x: _chunks(x.repartition(shuffle_partitions(spark), "cid"))
+    by_cid = lambda x: _chunks(x.repartition(shuffle_partitions(x), "cid"))
     long = kept.where(F.col("n") > LONG).select("cid")
     if long.isEmpty():
         chunks = by_cid(rows)

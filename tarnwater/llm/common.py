@@ -88,8 +88,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Input bytes for which a shuffle gets one more partition than the session says.
+PARTITION_BYTES = 64 << 20
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, or more where the tables under ``df`` are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum([x for x in sizes if x < 1 << 60])  # what has no statistics claims more
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
 
 
 def text_bytes(text: str = "text") -> Column:

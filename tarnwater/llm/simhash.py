@@ -231,12 +231,11 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` has one column fp of different values.
     """
-    spark = fps.sparkSession
     tops = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_block_masks()))))
     dealt = (
         fps.select("fp", tops.alias("top"))
         .select("top.t", "top.key", "fp")
-        .repartition(shuffle_partitions(spark), "t", "key")
+        .repartition(shuffle_partitions(fps), "t", "key")
         .withColumn("rank", _gray_rank(F.col("fp")))
         .sortWithinPartitions("t", "key", F.shiftrightunsigned("rank", 1), "rank")
         .select("t", "key", "fp")
@@ -319,10 +318,9 @@ def _by_key(run: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[Iter
 
 def candidates(prints: DataFrame, likeness: float) -> DataFrame:
     """src, dst: stars that join what a path of :func:`near_pairs` in any top node joins; ``prints`` has fp, n, hi and lo."""
-    spark = prints.sparkSession
     masks = enumerate(table_masks(prints.count()))
     keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("hi").bitwiseAND(F.lit(signed(a))), F.col("lo").bitwiseAND(F.lit(signed(b)))) for t, (a, b) in masks)))
-    dealt = prints.where("n > 0").select(keys.alias("key"), "fp", "n", "hi", "lo").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    dealt = prints.where("n > 0").select(keys.alias("key"), "fp", "n", "hi", "lo").repartition(shuffle_partitions(prints), "key").sortWithinPartitions("key")
 
     def run(fp, n, hi, lo):
         fp, n, hi, lo = fp.to_numpy(), n.to_numpy(), hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64)
@@ -341,7 +339,6 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
 
     ``prints`` has a row for each fp, with the hash of one of its texts as key.
     """
-    spark = docs.sparkSession
     groups = durable(connected_components(durable(candidates(prints, likeness), "simhash-near")).select(F.col("node").alias("fp"), "root"), "simhash-groups")
     parts = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
     groups = durable(groups.join(parts, "root").join(prints, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")), "simhash-parts")
@@ -350,7 +347,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
     meets = groups.join(texts, "key").withColumn("other", other)
     key = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
     meets = meets.select(key.alias("key"), "fp", "n", "hi", "lo", "part", (F.col("part") == F.col("other")).alias("own"), text_bytes().alias("raw"))
-    meets = meets.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    meets = meets.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key")
 
     def run(fp, n, hi, lo, part, own, raw):
         fp, n, hi, lo, part = fp.to_numpy(), n.to_numpy(), hi.to_numpy().view(np.uint64), lo.to_numpy().view(np.uint64), part.to_numpy()
@@ -383,7 +380,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
             mark[:] = False
         return np.array(src, np.int64), np.array(dst, np.int64)
 
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     found = durable(meets.mapInArrow(_by_key(run), "src bigint, dst bigint"), "simhash-alike")
     release(groups)
     return found

@@ -210,7 +210,6 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _sort_suffixes(spans_: DataFrame, length: int) -> DataFrame:
     """a, sh, start, stop: runs of repeated windows in the spans (a, sh, twice, raw) of buckets a of at most ``HOT`` spans."""
-    spark = spans_.sparkSession
     schema = pa.schema([("a", pa.int64()), ("sh", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def give(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,7 +236,7 @@ def _sort_suffixes(spans_: DataFrame, length: int) -> DataFrame:
         if rows:
             yield give(rows)
 
-    dealt = spans_.select("a", "sh", "twice", "raw").repartition(shuffle_partitions(spark), "a").sortWithinPartitions("a")
+    dealt = spans_.select("a", "sh", "twice", "raw").repartition(shuffle_partitions(spans_), "a").sortWithinPartitions("a")
     return dealt.mapInArrow(run, "a bigint, sh bigint, start int, stop int")
 
 

@@ -91,18 +91,22 @@ def likeness(a: str, b: str) -> float:
 
 
 def matches(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Positional matches: (start in a, start in b, length) of runs of anchors that both texts share on one diagonal."""
+    """Positional matches: (start in a, start in b, length) of runs of anchors that both texts share on one diagonal.
+
+    An anchor goes on with the run before it where it can; else it opens one at the
+    first of its places in ``b``, so repeats cost no more than their number.
+    """
     (p, h), (q, g) = anchors(a), anchors(b)
-    order = np.argsort(g, kind="stable")
-    lo, hi = np.searchsorted(g[order], h), np.searchsorted(g[order], h, "right")
-    once = hi - lo == 1
-    left, right = p[once], q[order[lo[once]]]
+    places: dict[int, int] = {}
+    for y, value in zip(q[::-1].tolist(), g[::-1].tolist(), strict=True):
+        places[value] = y  # the first place of each
+    at = dict(zip(q.tolist(), g.tolist(), strict=True))
     runs: list[tuple[int, int, int]] = []
-    for x, y in zip(left.tolist(), right.tolist(), strict=True):
-        if runs and x - y == runs[-1][0] - runs[-1][1] and x <= runs[-1][0] + runs[-1][2]:
+    for x, value in zip(p.tolist(), h.tolist(), strict=True):
+        if runs and x <= runs[-1][0] + runs[-1][2] and at.get(x - runs[-1][0] + runs[-1][1]) == value:
             runs[-1] = (*runs[-1][:2], x + K - runs[-1][0])
-        else:
-            runs.append((x, y, K))
+        elif value in places:
+            runs.append((x, places[value], K))
     return runs
 
 
@@ -130,7 +134,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(docs)
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("bigint").alias("_id"), "doc_id", "text")
     shares = [i / (n * RANGES_PER_PARTITION) for i in range(1, n * RANGES_PER_PARTITION)]
     cuts = ids.agg(F.percentile_approx("_id", shares, 20000).alias("c")).first()["c"] or []

@@ -1,7 +1,9 @@
 """The operators that SQL expresses, against their SQL: on a table and on rows of defined cases."""
 
+import math
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -52,6 +54,33 @@ def test_documents_cases(spark, table):
     assert not same(spark, "op3_mixing_temperature", folder) and not same(spark, "op7_license_scan", folder)
 
 
+def test_weights_meet_target_and_budget(spark):
+    """Temperature mixing by its definition: entropy, repetition limit, and what the schedule gives each source."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)), s) for i, s in enumerate(r.choices("abcde", [60, 25, 10, 4, 1], k=4000))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    totals = Counter()
+    for _, text, s in rows:
+        totals[s] += len(text.split())
+    everything = sum(totals.values())
+    entropy = lambda ws: -sum(w * math.log(w) for w in ws if w)
+    natural = entropy([t / everything for t in totals.values()])
+    for evenness, repeats in ((0.5, 100), (0.9, 100), (1.0, 2), (0.0, 4)):
+        sources = spark.createDataFrame(list(totals.items()), "_src string, total bigint")
+        got = {x["_src"]: x for x in mixing.weights(sources, evenness, repeats).collect()}
+        weights = [x.weight for x in got.values()]
+        assert abs(sum(weights) - 1) < 1e-6
+        target = natural + evenness * (math.log(len(totals)) - natural)
+        most = max(x.weight * everything / x.total for x in got.values())
+        assert most <= repeats + 1e-3
+        assert abs(entropy(weights) - target) < 1e-6 or abs(most - repeats) < 1e-3 and entropy(weights) < target
+        drawn = Counter()
+        for x in mixing.draws(docs, evenness, repeats).collect():
+            drawn[x.source] += x.n_tokens
+        for s, x in got.items():
+            assert x.budget - 41 < drawn[s] <= x.budget and x.budget == int(x.weight * everything)
+
+
 def test_wrapped_and_whole_licences(spark, table):
     t = dict(licenses.TEMPLATES)
     mit = "Copyright (c) 2020 Some One\n\n" + t["mit-text"]
