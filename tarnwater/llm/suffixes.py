@@ -52,6 +52,8 @@ from pyspark.sql import functions as F
 from tarnwater.llm.common import batch_map, durable, marked, read_table, release, shuffle_partitions, small_batches, text_bytes
 
 LENGTH = 400
+#: Bytes of passages of over 50 words, many of which are shorter than ``LENGTH``.
+PASSAGE = 240
 HOT = 1024
 #: Bytes of spans whose suffixes are sorted together.
 TOGETHER = 1 << 19
@@ -338,13 +340,34 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
-def _joined(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row (all columns of ``docs``), raw, runs."""
-    found = repeated(docs, length)
+def nested(docs: DataFrame, length: int, shorter: int) -> DataFrame:
+    """th, runs, shared: as :func:`repeated`, for strings of ``length`` bytes (runs) and of ``shorter`` ones (shared).
+
+    Whatever the longer strings cover, the shorter ones cover in one run of ``length``
+    bytes or more, so the second pass takes only texts that have such a run (and the
+    few that :func:`~tarnwater.llm.common.marked` cannot tell from them).
+    """
+
+    def make():
+        return lambda many: [(m, max(b - a for a, b in m) >= length) for m in map(merged, many)]
+
+    shared = batch_map(repeated(docs, shorter), make, "shared array<struct<start:int,stop:int>>, long boolean", ["th"], ["runs"])
+    shared = durable(shared, "suffix-shared-runs")
+    key = F.xxhash64("th")
+    some = marked(_keyed(docs), key, shared.where("long").select(key.alias("k")), "some").where("some")
+    some = durable(some.select(F.col("id").alias("doc_id"), F.col("raw").alias("text")), "suffix-some")
+    found = repeated(some, length)
+    release(some)
+    return shared.drop("long").join(found, "th", "left")
+
+
+def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), raw, and the columns of ``found`` but its key th (null where it has no row)."""
+    rest = [c for c in found.columns if c != "th"]
     rows = docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).withColumn("th", F.unhex(F.md5("raw")))
     rows = marked(rows, F.xxhash64("th"), found.select(F.xxhash64("th").alias("k")), "some")
-    whole = rows.where("NOT some").select("row", "raw", F.lit(None).cast(found.schema["runs"].dataType).alias("runs"))
-    return rows.where("some").join(found, "th", "left").select("row", "raw", "runs").union(whole)
+    whole = rows.where("NOT some").select("row", "raw", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in rest))
+    return rows.where("some").join(found, "th", "left").select("row", "raw", *rest).union(whole)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -353,21 +376,22 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Bytes of a character of which the removal left a part go as well, and a text
     of which nothing is left is empty; null texts stay null.
     """
-    made = batch_map(_joined(docs, length), lambda: lambda raws, runs: [(cut(r, merged(x)).decode("utf-8", "ignore"),) for r, x in zip(raws, runs, strict=True)], "kept string", ["row"], ["raw", "runs"])
+    made = batch_map(_joined(docs, repeated(docs, length)), lambda: lambda raws, runs: [(cut(r, merged(x)).decode("utf-8", "ignore"),) for r, x in zip(raws, runs, strict=True)], "kept string", ["row"], ["raw", "runs"])
     columns = [F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     return made.select(*columns)
 
 
-def _digest(raw: bytes, runs: list) -> tuple[int, int, int, str]:
+def _digest(raw: bytes, runs: list, shared: list) -> tuple[int, int, int, str, int]:
     runs = merged(runs)
-    return len(raw), sum([b - a for a, b in runs]), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest()
+    return len(raw), sum([b - a for a, b in runs]), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest(), sum([b - a for a, b in merged(shared)])
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what is left, and n_shared: the bytes that strings of ``PASSAGE`` bytes which stand elsewhere cover (they stay)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = _joined(docs).select(F.col("row.doc_id").alias("doc_id"), "raw", "runs")
-    schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return batch_map(rows, lambda: lambda raws, runs: [_digest(*x) for x in zip(raws, runs, strict=True)], schema, ["doc_id"], ["raw", "runs"])
+    rows = _joined(docs, nested(docs, LENGTH, PASSAGE)).select(F.col("row.doc_id").alias("doc_id"), "raw", "runs", "shared")
+    schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint"
+    return batch_map(rows, lambda: lambda *c: [_digest(*x) for x in zip(*c, strict=True)], schema, ["doc_id"], ["raw", "runs", "shared"])
 
 
 QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}

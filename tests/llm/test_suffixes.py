@@ -42,7 +42,8 @@ def brute_runs(texts, length):
 
 
 def brute(texts):
-    return [(len(r), sum(b - a for a, b in runs), len(runs), hashlib.sha256(m.cut(r, runs)).hexdigest()) for r, runs in brute_runs(texts, L)]
+    shared = [sum(b - a for a, b in runs) for _, runs in brute_runs(texts, m.PASSAGE)]
+    return [(len(r), sum(b - a for a, b in runs), len(runs), hashlib.sha256(m.cut(r, runs)).hexdigest(), n) for (r, runs), n in zip(brute_runs(texts, L), shared)]
 
 
 @pytest.mark.parametrize("text", ["z" * 900, "ab" * 700, noise(random.Random(1), 700), noise(random.Random(2), 3000) + "q" * 900])
