@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tarnwater.session import table
+from tarnwater.engine import default_names
+from tarnwater.session import run_sql, table
 
 DISC = "l_extendedprice * (1 - l_discount)"
 
@@ -74,7 +75,11 @@ def cube(s, d):
     return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-_ALL = (events_group_count, events_partial_agg, events_avg, agg_count_sum_min_max, agg_avg, agg_minmax_nonnumeric, agg_count_distinct, agg_count_distinct_global, agg_expression, agg_case, agg_ratio, agg_having, agg_nested_group, agg_group_by_alias, rollup, cube)
+def agg_default_names(s, d):
+    return default_names(run_sql(s, d, "SELECT o_orderstatus, count(*), sum(o_orderkey) FROM orders GROUP BY o_orderstatus"))
+
+
+_ALL = (events_group_count, events_partial_agg, events_avg, agg_count_sum_min_max, agg_avg, agg_minmax_nonnumeric, agg_count_distinct, agg_count_distinct_global, agg_expression, agg_case, agg_ratio, agg_having, agg_nested_group, agg_group_by_alias, rollup, cube, agg_default_names)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "events_group_count": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY event_type",
@@ -91,6 +96,7 @@ ORACLES = {
     "agg_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "agg_nested_group": "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n ORDER BY customers DESC, n DESC",
     "agg_group_by_alias": f"SELECT l_suppkey AS supplier_no, round(sum({DISC}), 2) AS revenue FROM lineitem GROUP BY supplier_no",
+    "agg_default_names": 'SELECT o_orderstatus, count(*) AS "count", sum(o_orderkey)::BIGINT AS "sum(o_orderkey)" FROM orders GROUP BY o_orderstatus',
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 }

@@ -10,7 +10,7 @@ def scan_project(s, d):
 
 
 def filter_compare(s, d):
-    return table(s, d, "part").where("p_size <> 7 AND p_size <= 20 AND p_retailprice > 1000").select("p_partkey", "p_size")
+    return table(s, d, "part").where("p_size <> 7 AND p_size <= 20 AND p_retailprice > 950").select("p_partkey", "p_size")
 
 
 def filter_between(s, d):
@@ -52,7 +52,7 @@ _ALL = (scan_project, filter_compare, filter_between, filter_in, filter_like, fi
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "scan_project": "SELECT c_custkey, upper(c_name) AS name, round(c_acctbal * 2, 2) AS twice FROM customer",
-    "filter_compare": "SELECT p_partkey, p_size FROM part WHERE p_size <> 7 AND p_size <= 20 AND p_retailprice > 1000",
+    "filter_compare": "SELECT p_partkey, p_size FROM part WHERE p_size <> 7 AND p_size <= 20 AND p_retailprice > 950",
     "filter_between": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12",
     "filter_in": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')",
     "filter_like": "SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%ring%' OR p_type LIKE 'PRO%' OR p_type LIKE '%MY'",

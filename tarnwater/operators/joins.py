@@ -82,7 +82,7 @@ _SQL = {
     "union_all": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) t GROUP BY k",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "set_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000",
     "select_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "fn_extract_year": "SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1",
     "fn_substring_from_for": "SELECT substring(c_mktsegment FROM 1 FOR 2) AS code, count(*) AS n FROM customer GROUP BY 1",
@@ -92,7 +92,7 @@ _SQL = {
     "order_multi_key": "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey",
     "limit_ordered": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
-    "limit_unordered": "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 3) t",
+    "limit_unordered": "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k, min(o_orderkey) >= 1 AND max(o_orderkey) < 1000 AS inside FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 1000 LIMIT 3) t",
     "top_k_by_agg_alias": "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_suppkey ORDER BY revenue DESC NULLS LAST, l_suppkey LIMIT 10",
     "top_k_string_keys": "SELECT c_name, c_custkey FROM customer ORDER BY c_name DESC NULLS LAST, c_custkey LIMIT 10",
     "order_without_limit": "SELECT event_id, value FROM events ORDER BY value, event_id",

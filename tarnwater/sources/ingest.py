@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ def write_sharded(df: DataFrame, path: str, key: str, n: int) -> dict:
     return manifest
 
 
+def read_sharded(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rows of :func:`write_sharded` without the shard's number, and the manifest."""
+    manifest = json.loads(spark.read.text(f"{path.rstrip('/')}.manifest").first().value)
+    return spark.read.parquet(path).drop(SHARD), manifest
+
+
+def redistribute(spark: SparkSession, path: str, target: str, n: int) -> dict:
+    """Write the shards of ``path`` anew as ``n`` shards of the same key in ``target``, without the source of the rows."""
+    if target.rstrip("/") == path.rstrip("/"):
+        raise ValueError("the target must be another folder than the source")
+    rows, manifest = read_sharded(spark, path)
+    return write_sharded(rows, target, manifest["key"], n)
+
+
 def demo_rows(spark: SparkSession, n: int) -> DataFrame:
     """id, name, score, category of n made-up events."""
     i = F.col("id").cast("int")
@@ -45,13 +60,58 @@ def demo_rows(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n + 1).select(i.alias("id"), F.concat(F.lit("event-"), i.cast("string")).alias("name"), (i * 10).alias("score"), category.alias("category"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the warehouse, which all executors share; it goes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir')}/tarnwater-scratch/{uuid.uuid4().hex}{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _placement(sharded: DataFrame, key: str) -> list:
+    """Aggregates of shard and key: rows, keys, shards, keys of one shard only, and whether no shard holds 1.5 times its share."""
+    keys = sharded.groupBy(key).agg(F.count("*").alias("n"), F.min(SHARD).alias("low"), F.max(SHARD).alias("high"))
+    shards = keys.groupBy("low").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.when(F.col("low") == F.col("high"), 1).otherwise(0)).alias("one"))
+    return shards.agg(
+        F.sum("n").alias("row_count"), F.sum("k").alias("key_count"), F.count("*").alias("shards"), F.sum("one").alias("keys_in_one_shard"),
+        (F.max("k") < 1.5 * F.avg("k")).alias("even"),
+    )
+
+
 def hash_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and keys that the shards of two tables hold in all."""
-    parts = [with_shard(table(spark, sf_dir, t), k, 6).groupBy(SHARD).agg(F.count("*").alias("n"), F.countDistinct(k).alias("k")).select(F.lit(t).alias("name"), "n", "k") for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
-    return parts[0].union(parts[1]).groupBy("name").agg(F.sum("n").alias("row_count"), F.sum("k").alias("key_count"))
+    """How two tables lie in six shards: every key in one shard only, and the shards alike."""
+    parts = [_placement(with_shard(table(spark, sf_dir, t), k, 6), k).select(F.lit(t).alias("name"), "*") for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
+    return parts[0].union(parts[1])
+
+
+def redistribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in six shards, dealt anew to four, as read back from the files."""
+    first, second = _scratch(spark, ".parquet"), _scratch(spark, ".parquet")
+    write_sharded(table(spark, sf_dir, "orders"), first, "o_orderkey", 6)
+    redistribute(spark, first, second, 4)
+    return _placement(spark.read.parquet(second), "o_orderkey")
+
+
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations through a CSV file, whose types are inferred."""
+    path = _scratch(spark, ".csv")
+    table(spark, sf_dir, "nation").write.option("header", True).csv(path)
+    return read_file(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_file(spark, f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+
+
+def source_demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo_rows(spark, 50)
 
 
-QUERIES = {"hash_partition_counts": hash_partition_counts}
+QUERIES = {f.__name__: f for f in (hash_partition_counts, redistribute_counts, source_csv, source_parquet, source_demo_rows)}
+_PLACED = "SELECT {name}count(*) AS row_count, count(DISTINCT {k}) AS key_count, {n} AS shards, count(DISTINCT {k}) AS keys_in_one_shard, true AS even FROM {t}"
 ORACLES = {
-    "hash_partition_counts": "SELECT 'orders' AS name, count(*) AS row_count, count(DISTINCT o_orderkey) AS key_count FROM orders UNION ALL SELECT 'lineitem', count(*), count(DISTINCT l_orderkey) FROM lineitem"
+    "hash_partition_counts": " UNION ALL ".join(_PLACED.format(name=f"'{t}' AS name, ", k=k, n=6, t=t) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))),
+    "redistribute_counts": _PLACED.format(name="", k="o_orderkey", n=4, t="orders"),
+    "source_csv": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "source_parquet": "SELECT r_regionkey, r_name FROM region",
+    "source_demo_rows": "SELECT i::INTEGER AS id, 'event-' || i AS name, (i * 10)::INTEGER AS score, CASE i % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS category FROM range(1, 51) t(i)",
 }
