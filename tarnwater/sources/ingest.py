@@ -109,8 +109,8 @@ def source_demo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (hash_partition_counts, redistribute_counts, source_csv, source_parquet, source_demo_rows)}
 _PLACED = "SELECT {name}count(*) AS row_count, count(DISTINCT {k}) AS key_count, {n} AS shards, count(DISTINCT {k}) AS keys_in_one_shard, true AS even FROM {t}"
 ORACLES = {
-    "hash_partition_counts": " UNION ALL ".join(_PLACED.format(name=f"'{t}' AS name, ", k=k, n=6, t=t) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))),
-    "redistribute_counts": _PLACED.format(name="", k="o_orderkey", n=4, t="orders"),
+    "hash_partition_counts": " UNION ALL ".join(_PLACED.format(name=f"'{t}' AS name, ", k=k, n="6::BIGINT", t=t) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))),
+    "redistribute_counts": _PLACED.format(name="", k="o_orderkey", n="4::BIGINT", t="orders"),
     "source_csv": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "source_parquet": "SELECT r_regionkey, r_name FROM region",
     "source_demo_rows": "SELECT i::INTEGER AS id, 'event-' || i AS name, (i * 10)::INTEGER AS score, CASE i % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS category FROM range(1, 51) t(i)",
