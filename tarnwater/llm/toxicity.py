@@ -39,7 +39,7 @@ from tarnwater.llm.common import batch_map, crc_mod, read_table, text_bytes
 from tarnwater.llm.quality import labelled
 
 SAMPLE, NEGATIVES = 1500, 3500
-SAMPLE_BYTES, LONGEST = 16 << 20, 1 << 17
+SAMPLE_BYTES, LONGEST = 8 << 20, 1 << 17
 WINDOW, STRIDE = 32, 16
 WORDS, LEAST_TEXTS, _SLOT_BITS = 8192, 4, 13
 SLOTS = 1 << _SLOT_BITS
