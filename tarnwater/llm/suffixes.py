@@ -106,10 +106,10 @@ def _slide(h: np.ndarray, reach: int, pick) -> np.ndarray:
     return pick(h[: len(h) - (reach - width)], h[reach - width :]) if width < reach else h
 
 
-def spans(raw: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(first window, number of windows, anchor's place, anchor's hash) of every span of a text."""
+def span_arrays(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor's place and anchor's hash of every span of a text."""
     if len(raw) < length:
-        return []
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     pieces = reach(length)
     h = gram_hashes(raw, gram(length))
     least = _slide(h, pieces, np.minimum)
@@ -126,12 +126,15 @@ def spans(raw: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
         if stack:
             before[i] = places[stack[-1]]
         stack.append(i)
-    out = []
-    for p, x, b, a in zip(places, hashes, before, after, strict=True):
-        low, high = max(b + 1, p - pieces + 1), min(p, a - pieces, n - 1)
-        if low <= high:
-            out.append((low, high - low + 1, p, x))
-    return out
+    low = np.maximum(np.array(before, np.int64) + 1, chosen - pieces + 1)
+    high = np.minimum(np.minimum(chosen, np.array(after, np.int64) - pieces), n - 1)
+    some = low <= high
+    return low[some], (high - low + 1)[some], chosen[some], h[chosen[some]]
+
+
+def spans(raw: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """As :func:`span_arrays`, a tuple for each span."""
+    return list(zip(*(x.tolist() for x in span_arrays(raw, length)), strict=True))
 
 
 def refine(text: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -195,16 +198,29 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, th, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "raw")), strict=True):
-                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for start, n, place, a in spans(raw, length):
-                    sh = xxhash.xxh64_intdigest(raw[start : start + n - 1 + length], 1)
-                    found.setdefault((_signed(a), _signed(sh)), []).append((start, n, place))
-                for (a, sh), same in found.items():
-                    runs = merged([{"start": x, "stop": x + n - 1 + length} for x, n, _ in same]) if len(same) > 1 else None
-                    out.append((i, th, *same[0], a, sh, len(same), runs))
-            yield _batch(out, schema)
+            parts, of, runs = [[np.zeros(0, np.int64)] for _ in range(6)], [np.zeros(0, np.int64)], []
+            for k, raw in enumerate(batch.column("raw").to_pylist()):
+                start, n, place, a = span_arrays(raw, length)
+                sh = [xxhash.xxh64_intdigest(raw[x:y], 1) for x, y in zip(start.tolist(), (start + n - 1 + length).tolist(), strict=True)]
+                times = np.ones(len(sh), np.int64)
+                if len(set(sh)) < len(sh):  # some span stands twice in this text
+                    same: dict[tuple[int, int], list[int]] = {}
+                    for i, key in enumerate(zip(a.tolist(), sh, strict=True)):
+                        same.setdefault(key, []).append(i)
+                    first = [x[0] for x in same.values()]
+                    times = np.array([len(x) for x in same.values()], np.int64)
+                    runs += [merged([{"start": int(start[i]), "stop": int(start[i] + n[i]) - 1 + length} for i in x]) if len(x) > 1 else None for x in same.values()]
+                    start, n, place, a, sh = start[first], n[first], place[first], a[first], [sh[i] for i in first]
+                else:
+                    runs += [None] * len(sh)
+                for part, x in zip(parts, (start, n, place, a.view(np.int64), np.array(sh, np.uint64).view(np.int64), times), strict=True):
+                    part.append(x)
+                of.append(np.full(len(sh), k))
+            text = pa.array(np.concatenate(of))
+            start, n, place, a, sh, times = (np.concatenate(x) for x in parts)
+            small = [pa.array(x.astype(np.int32)) for x in (start, n, place)]
+            columns = [batch.column("id").take(text), batch.column("th").take(text), *small, pa.array(a), pa.array(sh), pa.array(times), pa.array(runs, places)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = _keyed(docs).where(F.length("raw") >= length).select("id", "th", "raw")
     return rows.mapInArrow(run, "id bigint, th binary, start int, n int, place int, a bigint, sh bigint, times bigint, runs array<struct<start:int,stop:int>>")
@@ -358,7 +374,7 @@ def nested(docs: DataFrame, length: int, shorter: int) -> DataFrame:
     some = durable(some.select(F.col("id").alias("doc_id"), F.col("raw").alias("text")), "suffix-some")
     found = repeated(some, length)
     release(some)
-    return shared.drop("long").join(found, "th", "left")
+    return durable(shared.drop("long").join(found, "th", "left"), "suffix-both")  # a side of its own, so that a text with very many rows can be split
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
