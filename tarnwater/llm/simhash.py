@@ -27,9 +27,11 @@ share ``k`` sampled bits, with ``k`` so that a node has some ``NODE`` texts and
 many tables as let a pair of likeness 0.8 (0.848 of the bits agree) share a node
 with probability ``FOUND``.  Texts within ``RADIUS`` bits in a node, whose
 sizes allow the likeness, are joined to candidate groups by stars; each text goes
-once to its group (in a group over ``GROUP``, once for each pair of its parts), and
-there all pairs within ``RADIUS`` bits are compared that no link joins yet.  Texts with the same
-64-bit hash after lower-casing and joining of words are taken as one.
+once to its group, and there all pairs within ``RADIUS`` bits are compared that no
+link joins yet.  A group over ``GROUP`` is first told apart by its likeness to a
+pivot in its middle (:func:`alike_links`), so that a crowd of near copies costs one
+comparison a text.  Texts with the same 64-bit hash after lower-casing and joining
+of words are taken as one.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; repeated rows and ids each get a row; null
@@ -334,19 +336,103 @@ def candidates(prints: DataFrame, likeness: float) -> DataFrame:
     return dealt.mapInArrow(lambda batches: by_key(gathered(batches, ROWS_AT_ONCE)), "src bigint, dst bigint").distinct()
 
 
+def pivots(groups: DataFrame) -> DataFrame:
+    """root and pivot, the fp of each group's row that is nearest to the majority of the group's bits; ``groups`` has root, fp, hi and lo."""
+    bits = [(c, b) for c in ("hi", "lo") for b in range(64)]
+    counts = groups.groupBy("root").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned(c, b).bitwiseAND(F.lit(1))).alias(f"{c}{b}") for c, b in bits))
+    major = {c: F.lit(0).cast("bigint") for c in ("hi", "lo")}
+    for c, b in bits:
+        major[c] = major[c].bitwiseOR(F.when(F.col(f"{c}{b}") * 2 > F.col("n"), F.lit(signed(1 << b))).otherwise(F.lit(0)))
+    far = F.bit_count(F.col("hi").bitwiseXOR(F.col("mid_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("mid_lo")))
+    placed = groups.join(counts.select("root", major["hi"].alias("mid_hi"), major["lo"].alias("mid_lo")), "root")
+    return placed.groupBy("root").agg(F.min(F.struct(far.alias("far"), "fp")).alias("one")).select("root", F.col("one.fp").alias("pivot"))
+
+
+def _part(salt: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "fp"), parts).cast("int")
+
+
+def _parts(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(GROUP)).cast("int")
+
+
+def against_pivot(large: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """The columns of ``large`` (a row for each text of groups of ``size`` texts), pivot, and whether and how far (Jaccard distance) a text is like its group's pivot.
+
+    A group's pivot goes once to each of its parts, so no task has a whole group.
+    """
+    one = pivots(large.select("root", "fp", "hi", "lo")).join(large.select("size", F.col("fp").alias("pivot"), F.col("raw").alias("pivot_raw")), "pivot")
+    one = durable(one.select("root", "pivot", "pivot_raw", F.explode(F.sequence(F.lit(0), _parts(F.col("size")) - 1)).alias("part")), "simhash-pivots")
+    met = large.withColumn("part", _part("pivot", _parts(F.col("size")))).join(one, ["root", "part"])
+
+    def make():
+        held: tuple[bytes, set[bytes]] = (b"", set())
+
+        def compare(raw, pivot_raw):
+            nonlocal held
+            if held[0] != pivot_raw:
+                held = pivot_raw, shingle_set(pivot_raw, shingle)
+            own = shingle_set(raw, shingle)
+            both = len(own & held[1])
+            of = len(own) + len(held[1]) - both
+            return both + 1e-9 >= likeness * of, 1 - both / max(1, of)
+
+        return compare
+
+    return durable(row_map(met, make, "alike boolean, far double", [*large.columns, "pivot"], ["raw", "pivot_raw"]), "simhash-judged")
+
+
 def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: float) -> DataFrame:
     """src, dst: links between texts of ``likeness`` or more that join what a path of such links between candidates joins.
 
     ``prints`` has a row for each fp, with the hash of one of its texts as key.
+    A group of at most ``GROUP`` texts meets as a whole.  In a larger one every text
+    is compared with a pivot first.  Those like it are joined, and need not meet each
+    other; the others are the group of the next round.  Between the two, the distance
+    to the pivot rules out whoever cannot be alike, as Jaccard distance is a metric;
+    what is left meets by pairs of parts.  A group that a round made smaller by less
+    than an eighth has no middle, and meets by pairs of parts.
     """
     groups = durable(connected_components(durable(candidates(prints, likeness), "simhash-near")).select(F.col("node").alias("fp"), "root"), "simhash-groups")
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
-    groups = durable(groups.join(parts, "root").join(prints, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")), "simhash-parts")
+    groups = durable(groups.join(prints, "fp"), "simhash-members")
     texts = marked(docs.select(text_hash().alias("key"), "text"), F.col("key"), groups.select("key"), "some").where("some").groupBy("key").agg(F.min("text").alias("text"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    meets = groups.join(texts, "key").withColumn("other", other)
-    key = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
-    meets = meets.select(key.alias("key"), "fp", "n", "hi", "lo", "part", (F.col("part") == F.col("other")).alias("own"), text_bytes().alias("raw"))
+    members = groups.join(texts, "key").select("root", "fp", "n", "hi", "lo", text_bytes().alias("raw"))
+    small_batches(docs.sparkSession)
+    sizes = durable(groups.groupBy("root").agg(F.count("*").alias("size")).withColumn("before", F.lit(None).cast("bigint")), "simhash-sizes")
+    if not sizes.where(F.col("size") > GROUP).isEmpty():
+        members = durable(members, "simhash-texts")
+    met, found, held = [], [], [groups, members]
+
+    def meet(rows: DataFrame, part: Column, first: Column, last: Column) -> None:
+        """Let each row, of ``part``, meet those of the parts from first to last."""
+        rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(first, last)))
+        key = F.xxhash64("root", F.lit(len(met)), F.least("part", "other"), F.greatest("part", "other"))
+        met.append(rows.select(key.alias("key"), "fp", "n", "hi", "lo", "part", (F.col("part") == F.col("other")).alias("own"), "raw"))
+
+    zero = F.lit(0)
+    while True:
+        sized = members.join(sizes, "root")
+        pivoted = (F.col("size") > GROUP) & (F.col("before").isNull() | (F.col("size") <= 0.875 * F.col("before")))
+        parts = _parts(F.col("size"))
+        meet(sized.where(~pivoted), _part("part", parts), zero, parts - 1)
+        if sizes.where(pivoted).isEmpty():
+            break
+        judged = against_pivot(sized.where(pivoted).drop("before"), shingle, likeness)
+        found.append(judged.where("alike AND fp != pivot").select(F.least("fp", "pivot").alias("src"), F.greatest("fp", "pivot").alias("dst")))
+        reach = F.lit(1 - likeness + 1e-6)
+        edges = judged.groupBy("root").agg(F.max(F.when(F.col("alike"), F.col("far"))).alias("top"), F.min(F.when(~F.col("alike"), F.col("far"))).alias("low"))
+        between = judged.join(edges, "root").where((F.col("alike") & (F.col("far") + reach >= F.col("low"))) | (~F.col("alike") & (F.col("far") <= F.col("top") + reach)))
+        between = durable(between.drop("size", "pivot", "top", "low"), "simhash-between")
+        held += [judged, between]
+        counts = between.groupBy("root").agg(F.count_if("alike").alias("here"), F.count_if(~F.col("alike")).alias("there")).where("here > 0 AND there > 0")
+        here, there = _parts(F.col("here")), _parts(F.col("there"))  # parts of those like the pivot, and after them of the others
+        part = F.when(F.col("alike"), _part("part", here)).otherwise(here + _part("part", there))
+        meet(between.join(counts, "root"), part, F.when(F.col("alike"), here).otherwise(zero), F.when(F.col("alike"), here + there).otherwise(here) - 1)
+        members = judged.where("NOT alike").select("root", "fp", "n", "hi", "lo", "raw")
+        sizes = durable(judged.groupBy("root").agg(F.count_if(~F.col("alike")).alias("size"), F.max("size").alias("before")).where("size > 0"), "simhash-sizes")
+    meets = met[0]
+    for more in met[1:]:
+        meets = meets.union(more)
     meets = meets.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key")
 
     def run(fp, n, hi, lo, part, own, raw):
@@ -380,10 +466,13 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
             mark[:] = False
         return np.array(src, np.int64), np.array(dst, np.int64)
 
-    small_batches(docs.sparkSession)
-    found = durable(meets.mapInArrow(_by_key(run), "src bigint, dst bigint"), "simhash-alike")
-    release(groups)
-    return found
+    linked = meets.mapInArrow(_by_key(run), "src bigint, dst bigint")
+    for more in found:
+        linked = linked.union(more)
+    linked = durable(linked, "simhash-alike")
+    for x in held:
+        release(x)
+    return linked
 
 
 def _classed(docs: DataFrame, shingle: int, likeness: float | None) -> tuple[DataFrame, DataFrame]:

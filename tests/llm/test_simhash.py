@@ -159,3 +159,40 @@ def test_planted_near_copies(spark):
     finally:
         m.NODE, m.GROUP = old
     assert m.keep_one(docs.limit(0), 5, 0.8).count() == 0
+
+
+def test_large_groups_meet_by_pivots(spark, monkeypatch):
+    """Crowds, crowds that only a chain joins, and a chain without middle link as brute force says, in groups of many parts."""
+    monkeypatch.setattr(m, "GROUP", 8)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+
+    def changed(base, share):
+        copy = list(base)
+        for i in r.sample(range(len(copy)), round(len(copy) * share)):
+            copy[i] = r.choice(words)
+        return copy
+
+    base = [r.choice(words) for _ in range(400)]
+    lists = []
+    for distance in (0, 0.04, 0.06, 0.08):  # crowds about middles that are themselves near to each other
+        middle = changed(base, distance)
+        lists += [changed(middle, r.choice((0.002, 0.01))) for _ in range(30)]
+    step = changed(base, 0.05)
+    for _ in range(40):
+        lists.append(step := changed(step, 0.02))
+    texts = [" ".join(x) for x in lists] + [" ".join(lists[0]).upper(), "", "a b"]
+    r.shuffle(texts)
+    sets = [m.shingle_set(t.lower().encode(), 5) for t in texts]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and len(a & b) >= 0.8 * len(a | b)]
+    want = list(range(len(texts)))
+    for i, j in pairs * 2:  # smallest id of each component
+        low, high = sorted((want[i], want[j]))
+        want = [low if w == high else w for w in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    judged = []
+    keep = m.against_pivot
+    monkeypatch.setattr(m, "against_pivot", lambda *a: judged.append(keep(*a)) or judged[-1])
+    got = {x.doc_id: x.component_id for x in m.near_duplicates(docs, 5, 0.8).collect()}
+    assert got == dict(enumerate(want)) and 4 <= len(set(want)) < 60
+    assert len(judged) > 1
