@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tarnwater-shared"
 
 
+#: Folders of the tables that :func:`durable` made.
+_MADE: set[str] = set()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -35,7 +39,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     execution split a skewed side.  The folder goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwater/{name}-{uuid.uuid4().hex}"
+    folder = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tarnwater/{folder}"
+    _MADE.add(folder)
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
@@ -43,9 +49,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`durable` that nothing reads any more."""
+    """Delete the files of a table made by :func:`durable` that nothing reads any more.
+
+    ``df`` reads that one table alone; anything else is refused, so no input is ever deleted.
+    """
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if len(folders) > 1 or any(f.rsplit("/", 1)[1] not in _MADE for f in folders):
+        raise ValueError(f"not one table made by durable(): {sorted(folders)}")
+    for name in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

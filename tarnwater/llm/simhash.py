@@ -399,9 +399,11 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, likeness: floa
     members = groups.join(texts, "key").select("root", "fp", "n", "hi", "lo", text_bytes().alias("raw"))
     small_batches(docs.sparkSession)
     sizes = durable(groups.groupBy("root").agg(F.count("*").alias("size")).withColumn("before", F.lit(None).cast("bigint")), "simhash-sizes")
+    held = [groups]
     if not sizes.where(F.col("size") > GROUP).isEmpty():
         members = durable(members, "simhash-texts")
-    met, found, held = [], [], [groups, members]
+        held.append(members)
+    met, found = [], []
 
     def meet(rows: DataFrame, part: Column, first: Column, last: Column) -> None:
         """Let each row, of ``part``, meet those of the parts from first to last."""

@@ -161,6 +161,26 @@ def test_planted_near_copies(spark):
     assert m.keep_one(docs.limit(0), 5, 0.8).count() == 0
 
 
+def test_only_own_tables_are_released(spark, tmp_path):
+    from tarnwater.llm.common import durable, release
+
+    spark.range(5).write.parquet(f"{tmp_path}/in.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/in.parquet")
+    own = durable(docs, "own")
+    for wrong in (docs, docs.join(own, "id")):
+        with pytest.raises(ValueError, match="durable"):
+            release(wrong)
+    release(own.select("id"))
+    assert docs.count() == 5
+
+
+def test_inputs_outlive_the_search(spark, table):
+    """Without a group over ``GROUP`` nothing of the candidates is a table of its own, and the input stays as it is."""
+    folder = table("documents", spark.createDataFrame([(i, "a b c d e f g h i j " * 9 + f"own{i % 7}") for i in range(40)], "doc_id bigint, text string"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert [x.doc_id for x in m.keep_one(docs, 5, 0.8).collect()] == [0] and docs.count() == 40
+
+
 def test_large_groups_meet_by_pivots(spark, monkeypatch):
     """Crowds, crowds that only a chain joins, and a chain without middle link as brute force says, in groups of many parts."""
     monkeypatch.setattr(m, "GROUP", 8)
