@@ -16,7 +16,7 @@ from tarnwater.llm.common import durable, read_table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that the ranking, learnt from a bounded sample of the labels, scores under 0.5."""
+    """Documents go that the ranking, learnt from all labelled rows, scores under 0.5."""
     ranker = quality.train(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"), F.lit(True))
     packed = docs.select(F.struct("*").alias("row"), "text")
     return quality.scores(packed, ranker, ["row"]).where("predicted = 1").select("row.*")

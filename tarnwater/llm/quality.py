@@ -1,35 +1,51 @@
 """Quality classifier: Bradley-Terry pairwise ranking, thresholded at a score quantile.
 
 A document's score is linear in :func:`features` of its whole text.  The weights
-maximise the Bradley-Terry likelihood of preference pairs, each a text labelled 1
-and one labelled 0 of the training rows: logistic loss on the difference of
-their features.  The threshold is the score quantile at the training rows' share
-of label 0; where the classes hardly overlap (nine tenths of the rows labelled 0
+maximise the Bradley-Terry likelihood of the preference pairs, which are all pairs of a
+text labelled 1 and one labelled 0 of the training rows: logistic loss on the
+difference of their features.  The threshold is the score quantile at the training
+rows' share of label 0; where the classes hardly overlap (nine tenths of the rows labelled 0
 score under nine tenths of those labelled 1), any place in the gap between two
 neighbouring scores is that quantile, and its middle is taken.
 :meth:`Ranker.score` maps a score to 0..1 with 0.5 at the threshold.
 
-Labels are learnt from a bounded sample: at most ``SAMPLE`` labelled rows of
-either class, those with the smallest hash of doc_id, so the sample is the same
-in every run; of repeated ids one row.  Only doc_id (to find the label and the fold) and text are read;
-doc_id never enters a feature.
+Every labelled row of the training folds is learnt from.  Their features are a written
+table, and whatever :func:`fit` needs is a sum over its rows, so the driver holds no
+rows (but some :data:`MANY` scores about a quantile).  A pair's loss depends on the
+difference of two scores, so all pairs are summed from the counts of scores in cells of
+1 / ``CELLS``, each score shared by the two nearest cell edges (a pair's slope is off by
+at most 1e-5); slopes come from these counts, and Newton's method takes its curvature
+from a coarser grid, which changes the steps and not where they end.  Quantiles are exact.
+Only doc_id (to find the label and the fold) and text are read; doc_id never enters a feature.
 
 Defined cases: null texts count as empty and have features of their own; labels
-that are null or not 0 or 1 are left out; repeated rows each get a row; without
+that are null or not 0 or 1 are left out, and of several for an id the least counts;
+each row of documents with a label counts, and repeated rows each get a row; without
 labels of both classes every score is 0.5 and every prediction 1.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwater.llm.common import batch_map, crc_mod, read_table, text_bytes
+from tarnwater.llm.common import batch_map, crc_mod, durable, gathered, marked, read_table, release, text_bytes
+
+#: Steps of the optimiser at most, weight of the squared norm.
+STEPS, DECAY = 60, 1e-4
+#: Cells of a unit of score, cells that are counted as one array, and cells to one of the coarser grid, which has at most so many.
+CELLS, BLOCK, COARSE, COARSE_MOST = 64, 256, 32, 256
+#: Rows that a task works on at a time, scores that the driver takes of each quantile, and results it adds up itself.
+ROWS, MANY, RESULTS = 16_384, 20_000, 64
 
-SAMPLE = 6000
-#: Preference pairs for each row of the rarer class, steps of the optimiser, weight of the squared norm.
-PAIRS, STEPS, DECAY = 24, 300, 1e-4
+#: Calls a function with features and labels of ever other training rows, and gives its results added up by key.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], dict]], dict]
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t", ".", ",", ";:", "!?", "'\"", "()[]{}<>", "#", "$", "%", "&", "*", "|", "@", "/\\_~^=+-"]
 _CLASS = np.zeros(256, np.int64)
@@ -63,40 +79,220 @@ class Ranker:
     def __init__(self, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, threshold: float, spread: float):
         self.centre, self.scale, self.weights, self.threshold, self.spread = centre, scale, weights, threshold, spread
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -6, 6)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.centre) / self.scale, -6, 6) @ self.weights
+        return (self.standard(x) * self.weights).sum(axis=1)  # the same for a row in whatever batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((self.raw(x) - self.threshold) / self.spread, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker:
-    """Learn from feature rows ``x`` and labels ``y`` (0 or 1)."""
-    width = x.shape[1] if x.ndim == 2 else len(features(b""))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def added(parts: Iterable[dict]) -> dict:
+    out: dict = {}
+    for part in parts:
+        for k, v in part.items():
+            out[k] = out[k] + v if k in out else v
+    return out
+
+
+def total_of(rows: DataFrame) -> Total:
+    """Sums over a table with the columns x (features) and label; results of many tasks are added up by tasks first."""
+    tasks = rows.rdd.getNumPartitions()
+
+    def total(function):
+        def blob(parts: Iterable[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(added(parts))], pa.binary())], names=["blob"])
+
+        def arrays(batch: pa.RecordBatch) -> dict:
+            y = batch.column("label").to_numpy()
+            return function(batch.column("x").flatten().to_numpy().reshape(len(y), -1), y) if len(y) else {}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield blob(map(arrays, gathered(batches, ROWS)))
+
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield blob(pickle.loads(x.as_py()) for batch in batches for x in batch.column("blob"))
+
+        blobs = rows.mapInArrow(run, "blob binary")
+        if tasks > RESULTS:
+            blobs = blobs.repartition(math.isqrt(tasks)).mapInArrow(more, "blob binary")
+        return added(pickle.loads(r.blob) for r in blobs.collect())
+
+    return total
+
+
+def cells(s: np.ndarray, y: np.ndarray, shared: bool) -> dict[int, np.ndarray]:
+    """Rows of either class in the cells of the scores, in arrays of ``BLOCK`` by the number of the array.
+
+    ``shared``: a score counts for both edges of its cell, the more the nearer.
+    """
+    at = np.floor(s * CELLS).astype(np.int64)
+    part = s * CELLS - at if shared else np.zeros(len(s))
+    first = int(at.min()) // BLOCK
+    size = (int(at.max() + 1) // BLOCK + 1 - first) * BLOCK
+    place = y * size + at - first * BLOCK
+    counts = np.bincount(place, 1 - part, 2 * size) + np.bincount(place + 1, part, 2 * size)
+    blocks = counts.reshape(2, -1, BLOCK)
+    return {first + i: blocks[:, i] for i in range(blocks.shape[1]) if blocks[:, i].any()}
+
+
+def line(blocks: dict[int, np.ndarray]) -> tuple[int, np.ndarray]:
+    """The number of the first cell, and the counts of either class from there on."""
+    first, last = min(blocks), max(blocks)
+    out = np.zeros((2, (last + 1 - first) * BLOCK))
+    for i, block in blocks.items():
+        out[:, (i - first) * BLOCK : (i - first + 1) * BLOCK] = block
+    return first * BLOCK, out
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def against(function: Callable[[np.ndarray], np.ndarray], shares: np.ndarray, width: float) -> np.ndarray:
+    """For each cell, the mean of ``function`` of the score's difference to the scores whose ``shares`` are given."""
+    n = len(shares)
+    size = 1 << (3 * n).bit_length()
+    values = function(np.arange(1 - n, n) * width)
+    return np.fft.irfft(np.fft.rfft(values, size) * np.fft.rfft(shares, size), size)[n - 1 : 2 * n - 1]
+
+
+def slopes(total: Total, ranker: Ranker, first: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the mean loss of all pairs; ``counts`` are those of the ranker's scores."""
+    sides = counts.sum(axis=1)
+    shares = counts / sides[:, None]
+    lost = [against(sigmoid, shares[1], 1 / CELLS), -against(lambda d: sigmoid(-d), shares[0], 1 / CELLS)]
+    step = COARSE
+    while counts.shape[1] // step > COARSE_MOST:
+        step *= 2
+    at = first + np.arange(counts.shape[1])
+    begin = first // step
+    size = int(at[-1]) // step + 2 - begin
+    below, part = at // step - begin, at % step / step
+    few = [np.bincount(below, c * (1 - part), size) + np.bincount(below + 1, c * part, size) for c in shares]
+    bend = lambda d: sigmoid(d) * sigmoid(-d)
+    bent = [against(bend, few[1 - side], step / CELLS) for side in (0, 1)]
+
+    def sums(x: np.ndarray, y: np.ndarray) -> dict:
+        z, s, out = ranker.standard(x), ranker.raw(x), {}
+        for side in (0, 1):
+            own, place = z[y == side], s[y == side] * CELLS
+            if not len(own):
+                continue
+            slope = np.interp(place - first, np.arange(len(lost[side])), lost[side]) / sides[side]
+            place = place / step - begin
+            low = np.clip(np.floor(place).astype(np.int64), 0, size - 2)
+            part = place - low
+            curve = (bent[side][low] * (1 - part) + bent[side][low + 1] * part) / sides[side]
+            spots = low[:, None] * own.shape[1] + np.arange(own.shape[1])
+            sums = np.bincount(spots.ravel(), ((1 - part)[:, None] * own).ravel(), size * own.shape[1])
+            sums += np.bincount((spots + own.shape[1]).ravel(), (part[:, None] * own).ravel(), size * own.shape[1])
+            out = added([out, {"slope": slope @ own, "curve": (own * curve[:, None]).T @ own, side: sums.reshape(size, -1) / sides[side]}])
+        return out
+
+    got = total(sums)
+    apart = (np.arange(size)[:, None] - np.arange(size)) * (step / CELLS)
+    cross = got[1].T @ bend(apart) @ got[0]
+    return got["slope"], got["curve"] - cross - cross.T
+
+
+def smallest(total: Total, ranker: Ranker, wanted: list[tuple[tuple[int, ...], int]]) -> list[float]:
+    """For each (classes, k) the score that k scores of these classes stand before in order, exactly."""
+    start, counts = line(total(lambda x, y: cells(ranker.raw(x), y, False)))
+    found: list[float | None] = [None] * len(wanted)
+    open_: dict[int, tuple[float, float, int, int]] = {}  # from, to (not included), scores between, how many of these before
+
+    def choose(i: int, n: np.ndarray, edges: np.ndarray, k: int) -> None:
+        upto = np.cumsum(n)
+        at = int(np.searchsorted(upto, k, "right"))
+        open_[i] = (float(edges[at]), float(edges[at + 1]), int(n[at]), int(k - (upto[at] - n[at])))
+
+    for i, (sides, k) in enumerate(wanted):
+        choose(i, counts[list(sides)].sum(axis=0), (start + np.arange(counts.shape[1] + 1)) / CELLS, k)
+    while open_:
+        for i, (a, b, _, _) in list(open_.items()):
+            if np.nextafter(a, np.inf) >= b:  # all the same
+                found[i] = a
+                del open_[i]
+        parts = {i: np.linspace(a, b, 1025) if n > MANY else None for i, (a, b, n, _) in open_.items()}
+
+        def look(x: np.ndarray, y: np.ndarray, asked=dict(open_), parts=parts) -> dict:
+            s, out = ranker.raw(x), {}
+            for i, (a, b, _, _) in asked.items():
+                v = s[(s >= a) & (s < b) & np.isin(y, wanted[i][0])]
+                out[i] = v.tolist() if parts[i] is None else np.bincount(np.searchsorted(parts[i], v, "right") - 1, minlength=1024)
+            return out
+
+        for i, got in (total(look) if open_ else {}).items():
+            if parts[i] is None:
+                found[i] = sorted(got)[open_.pop(i)[3]]
+            else:
+                choose(i, got, parts[i], open_[i][3])
+    return found
+
+
+def quantiles(total: Total, ranker: Ranker, asked: list[tuple[tuple[int, ...], int, float]]) -> list[float]:
+    """For each (classes, their rows, share) the quantile, between two scores in proportion."""
+    places = [(sides, (n - 1) * q, n) for sides, n, q in asked]
+    got = smallest(total, ranker, [(sides, k) for sides, p, n in places for k in (int(p), min(int(p) + 1, n - 1))])
+    return [low + (high - low) * (p - int(p)) for (_, p, _), low, high in zip(places, got[::2], got[1::2], strict=True)]
+
+
+def fit_sums(total: Total) -> Ranker:
+    """Learn from all training rows, each step from sums over them."""
+    got = total(lambda x, y: {"n": np.bincount(y, minlength=2), "x": x.sum(axis=0)})
+    width = len(got["x"]) if got else len(features(b""))
+    bad, good = got.get("n", np.zeros(2, np.int64)).tolist()
+    if not good or not bad:
         return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
-    centre, scale = x.mean(axis=0), x.std(axis=0)
+    n = good + bad
+    centre = got["x"] / n
+    scale = np.sqrt(total(lambda x, y: {"x": ((x - centre) ** 2).sum(axis=0)})["x"] / n)
     scale[scale < 1e-9] = 1.0
-    z = np.clip((x - centre) / scale, -6, 6)
-    random = np.random.default_rng(seed)
-    n = PAIRS * max(len(good), len(bad))
-    order = [np.concatenate([random.permutation(side) for _ in range(-(-n // len(side)))])[:n] for side in (good, bad)]
-    weights, mean, square = np.zeros(width), np.zeros(width), np.zeros(width)
-    for step in range(1, STEPS + 1):
-        part = slice((step * 4096) % n, (step * 4096) % n + 4096)
-        difference = z[order[0][part]] - z[order[1][part]]
-        lost = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))  # chance that the pair is ranked wrongly
-        slope = -(lost[:, None] * difference).mean(axis=0) + DECAY * weights
-        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
-        weights = weights - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    s = z @ weights
-    threshold = float(np.quantile(s, len(bad) / len(y)))
-    low, high = np.quantile(s[bad], 0.9), np.quantile(s[good], 0.1)
+
+    def tried(weights):
+        ranker = Ranker(centre, scale, weights, 0.0, 1.0)
+        first, counts = line(total(lambda x, y: cells(ranker.raw(x), y, True)))
+        bads, goods = counts / counts.sum(axis=1, keepdims=True)
+        return ranker, first, counts, goods @ against(lambda d: np.logaddexp(0, -d), bads, 1 / CELLS) + DECAY / 2 * weights @ weights
+
+    now = tried(np.zeros(len(centre)))
+    for _ in range(STEPS):
+        ranker, first, counts, loss = now
+        slope, curve = slopes(total, ranker, first, counts)
+        slope = slope + DECAY * ranker.weights
+        move = np.linalg.solve(curve + DECAY * np.eye(len(slope)), slope)
+        gain = float(slope @ move)
+        part = 1.0
+        now = tried(ranker.weights - move)
+        while gain > 1e-6 and now[3] > loss - 1e-4 * part * gain + 1e-7 and part > 1e-3:
+            part /= 2
+            now = tried(ranker.weights - part * move)
+        if gain < 1e-8:
+            break
+    ranker = Ranker(centre, scale, now[0].weights.round(8), 0.0, 1.0)  # the order of summing does not show
+    threshold, low, high = quantiles(total, ranker, [((0, 1), n, bad / n), ((0,), bad, 0.9), ((1,), good, 0.1)])
     if low < high:  # the classes hardly overlap: the quantile's gap, not its edge
-        threshold = float((s[s <= threshold].max(initial=low) + s[s > threshold].min(initial=high)) / 2)
-    spread = min((0.1 * s.std() * k for k in (0.5, 1, 2, 4, 8)), key=lambda t: np.logaddexp(0, -(2 * y - 1) * np.clip((s - threshold) / t, -30, 30)).mean())
-    return Ranker(centre, scale, weights, threshold, max(float(spread), 1e-6))
+        k = int(total(lambda x, y: {"n": np.count_nonzero(ranker.raw(x) <= threshold)})["n"])
+        below, above = smallest(total, ranker, [((0, 1), max(k - 1, 0)), ((0, 1), min(k, n - 1))])
+        threshold = ((max(below, low) if k else low) + (min(above, high) if k < n else high)) / 2
+    means = total(lambda x, y: {"s": (d := ranker.raw(x) - threshold).sum(), "q": (d**2).sum()})
+    deviation = math.sqrt(max(0.0, means["q"] / n - (means["s"] / n) ** 2))
+    spreads = [max(0.1 * deviation * k, 1e-6) for k in (0.5, 1, 2, 4, 8)]
+
+    def losses(x, y):
+        margin = (2 * y - 1) * (ranker.raw(x) - threshold)
+        return {"all": np.array([np.logaddexp(0, -np.clip(margin / t, -30, 30)).sum() for t in spreads])}
+
+    spread = spreads[int(np.argmin(total(losses)["all"]))]
+    return Ranker(centre, scale, ranker.weights, threshold, spread)
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
+    """Learn from feature rows ``x`` and labels ``y`` (0 or 1) at hand."""
+    return fit_sums(lambda function: function(x, np.asarray(y, np.int64)) if len(y) else {})
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: Column, most: tuple[int, int], longest: int | None = None, in_all: int | None = None) -> DataFrame:
@@ -117,12 +313,23 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: Column, most
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("raw").alias("raw")).select("raw", "label", "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, sample: int = SAMPLE) -> Ranker:
+def training_rows(docs: DataFrame, labels: DataFrame, fold: Column) -> DataFrame:
+    """x (features) and label of every row of ``docs`` that has a label and for whose doc_id ``fold`` holds."""
+    known = labels.where(fold & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "quality")
+    known = durable(known.groupBy("doc_id").agg(F.min(F.col("quality").cast("bigint")).alias("label")), "quality-labels")
+    texts = marked(docs.select("doc_id", text_bytes().alias("raw")), F.xxhash64("doc_id"), known.select(F.xxhash64("doc_id").alias("key")), "some").where("some")
+    found = batch_map(texts, lambda: lambda raws: [(features(r).tolist(),) for r in raws], "x array<double>", ["doc_id"], ["raw"])
+    rows = durable(found.join(known, "doc_id").select("x", "label"), "quality-rows")
+    release(known)
+    return rows
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: Column) -> Ranker:
     """Fit on the labelled rows for which ``fold`` (an expression on doc_id) holds."""
-    rows = labelled(docs, labels, "quality", fold, (sample, sample))
-    got = batch_map(rows, lambda: lambda raws: [(features(r).tolist(),) for r in raws], "x array<double>", ["label", "doc_id"], ["raw"])
-    got = sorted(got.collect(), key=lambda r: (r.doc_id, r.label, r.x))
-    return fit(np.array([r.x for r in got]), np.array([r.label for r in got]))
+    rows = training_rows(docs, labels, fold)
+    ranker = fit_sums(total_of(rows))
+    release(rows)
+    return ranker
 
 
 def scores(docs: DataFrame, ranker: Ranker, keep: list[str]) -> DataFrame:
@@ -141,7 +348,7 @@ def scores(docs: DataFrame, ranker: Ranker, keep: list[str]) -> DataFrame:
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod(F.col("doc_id"), 3) == 1
-    ranker = train(docs, read_table(spark, sf_dir, "labels"), ~held, SAMPLE)
+    ranker = train(docs, read_table(spark, sf_dir, "labels"), ~held)
     return scores(docs, ranker, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

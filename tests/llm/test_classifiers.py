@@ -131,3 +131,45 @@ def test_ranking_orders_pairs():
     m = quality.fit(x, y)
     s = m.score(x)
     assert ((s >= 0.5) == y).mean() > 0.95 and np.corrcoef(m.raw(x), x[:, 0] - 0.5 * x[:, 1])[0, 1] > 0.95
+
+
+def test_ranking_learns_from_every_labelled_row(spark, table, monkeypatch):
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(6)
+    words = ["one", "Two", "3", "four.", "five,", "Six", "77", "eight!"]
+    texts = [" ".join(random.choice(words, random.integers(1, 12))) for _ in range(15_000)]
+    y = np.array([int(t.count("7") + random.random() * 3 > 2) for t in texts])
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(3, None), (None, 1), (99_999, 1)], "doc_id int, quality int")
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "x"), (50_000, "x")], "doc_id bigint, text string")
+    rows = quality.training_rows(docs, labels, F.lit(True))
+    assert rows.count() == len(texts) and rows.agg(F.sum("label")).first()[0] == y.sum() and y.sum() > 6000
+    x = np.array([quality.features(t.encode()) for t in texts])
+    monkeypatch.setattr(quality, "RESULTS", 1)  # sums of sums
+    got, want = quality.train(docs.repartition(5), labels, F.lit(True)), quality.fit(x, y)
+    assert np.allclose(got.centre, x.mean(axis=0)) and np.allclose(got.scale[x.std(axis=0) > 1e-9], x.std(axis=0)[x.std(axis=0) > 1e-9])
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and np.isclose(got.threshold, want.threshold) and np.isclose(got.spread, want.spread)
+    assert np.isclose(got.threshold, np.quantile(got.raw(x), 1 - y.mean()))
+
+
+def test_ranking_slope_over_all_pairs_is_zero():
+    random = np.random.default_rng(8)
+    x = random.standard_normal((3000, 6))
+    y = (x[:, 0] - x[:, 1] + random.standard_normal(3000) > 0.8).astype(int)
+    m = quality.fit(x, y)
+    z, s = m.standard(x), m.raw(x)
+    lost = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    slope = lost.mean(axis=0) @ z[y == 0] / (y == 0).sum() - lost.mean(axis=1) @ z[y == 1] / (y == 1).sum() + quality.DECAY * m.weights
+    assert abs(slope).max() < 1e-5
+
+
+def test_order_of_scores_is_exact(monkeypatch):
+    monkeypatch.setattr(quality, "MANY", 5)
+    random = np.random.default_rng(9)
+    x = np.concatenate([random.standard_normal(500), np.full(300, 0.123), 0.123 + random.random(200) * 1e-9, [-1e3, 1e3]])[:, None]
+    y = np.arange(len(x)) % 2
+    ranker = quality.Ranker(np.zeros(1), np.ones(1), np.ones(1), 0.0, 1.0)
+    s = ranker.raw(x)
+    total = lambda f: quality.added(f(x[a : a + 100], y[a : a + 100]) for a in range(0, len(x), 100))
+    asked = [((0, 1), k) for k in range(0, len(x), 37)] + [((1,), k) for k in (0, 200, 400, 500)]
+    assert quality.smallest(total, ranker, asked) == [np.sort(s[np.isin(y, sides)])[k] for sides, k in asked]
