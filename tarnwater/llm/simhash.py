@@ -25,10 +25,12 @@ the texts for every link.  64 bits within 2 find few of these, so their candidat
 come from a ``WIDE``-bit SimHash of the set, by bit sampling: a table's top nodes
 share ``k`` sampled bits, with ``k`` so that a node has some ``NODE`` texts and as
 many tables as let a pair of likeness 0.8 (0.848 of the bits agree) share a node
-with probability ``FOUND``.  Texts within ``RADIUS`` bits in a node, whose
-sizes allow the likeness, are joined to candidate groups by stars; each text goes
-once to its group, and there all pairs within ``RADIUS`` bits are compared that no
-link joins yet.  A group over ``GROUP`` is first told apart by its likeness to a
+with probability ``FOUND``.  Within a top node a :class:`GrayIndex` of the ``WIDE``
+bits (two words, in Gray order as one) gives the texts within ``RADIUS`` bits, by the
+same search from the top that prunes groups; those whose sizes allow the likeness are
+joined to candidate groups by stars.  Each text goes once to its group, and there all
+pairs that an index of the group gives within ``RADIUS`` bits, and that no link joins
+yet, are compared.  A group over ``GROUP`` is first told apart by its likeness to a
 pivot in its middle (:func:`alike_links`), so that a crowd of near copies costs one
 comparison a text.  Texts with the same 64-bit hash after lower-casing and joining
 of words are taken as one.
@@ -62,6 +64,8 @@ PLAIN = 12
 ROWS_AT_ONCE = 50_000
 #: Fingerprints that search an index at the same time.
 QUERIES_AT_ONCE = 2048
+#: Pairs that a search within ``RADIUS`` bits, which may prune little, has at most at a time.
+PAIRS_AT_ONCE = 2**18
 #: Candidates of a likeness: bits, the most that differ, texts in a top node, the share of pairs of likeness 0.8 that meet in one, and texts in a part of a group.
 WIDE, RADIUS, NODE, FOUND, GROUP = 128, 31, 1024, 0.999, 512
 
@@ -138,43 +142,72 @@ def _gray_rank(x: Column) -> Column:
     return x
 
 
+def gray_order(words: np.ndarray) -> np.ndarray:
+    """The order of the rows by their place in the reflected Gray code; a row's words are its bits from the highest on."""
+    odd, ranks = np.zeros(len(words), np.uint64), []
+    for word in words.T:
+        ranks.append(gray_rank(word) ^ -odd)  # a word after an odd number of set bits runs backwards
+        odd = odd ^ (np.bitwise_count(word) & 1).astype(np.uint64)
+    return np.lexsort(ranks[::-1])
+
+
 class GrayIndex:
     """A hierarchical index over fingerprints in Gray order.
 
-    ``levels[0]`` has the fingerprints; a node of a higher level stands for
-    ``FANOUT`` neighbours of the level below.  ``patterns`` holds the bits on
-    which all of a node's fingerprints agree and ``masks`` which bits these are.
+    A fingerprint is a 64-bit word or a row of several.  ``levels[0]`` has the
+    fingerprints, word by word; a node of a higher level stands for ``FANOUT``
+    neighbours of the level below.  A level's patterns hold the bits on which all of
+    a node's fingerprints agree, and its masks which of these bits the node above has
+    not compared: those that this one's neighbours do not share.  ``order`` has the
+    place of each fingerprint in the input.
     """
 
     def __init__(self, fps: np.ndarray):
-        fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        self.fps = fps
-        self.patterns, self.masks = [fps], [np.full(len(fps), 2**64 - 1, np.uint64)]
-        while len(self.patterns[-1]) > 1:
-            starts = np.arange(0, len(self.patterns[-1]), FANOUT)
-            all_on = np.bitwise_and.reduceat(self.patterns[-1], starts)
-            any_on = np.bitwise_or.reduceat(self.patterns[-1], starts)
-            mask = np.bitwise_and.reduceat(self.masks[-1], starts) & ~(all_on ^ any_on)
-            self.patterns.append(all_on & mask)
-            self.masks.append(mask)
-
-    def search(self, queries: np.ndarray, most: int = LINK) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, place in ``fps``) of at most ``most`` differing bits."""
-        top = len(self.patterns) - 1
-        q = np.arange(len(queries))
-        node = np.zeros(len(queries) * bool(len(self.fps)), np.int64)
-        q = q[: len(node)]
-        sums = np.bitwise_count((queries[q] ^ self.patterns[top][node]) & self.masks[top][node]).astype(np.uint8)
+        words = fps[:, None] if fps.ndim == 1 else fps
+        self.order = gray_order(words)
+        self.fps = fps[self.order]
+        pattern, mask = words[self.order], np.full(words.shape, 2**64 - 1, np.uint64)
+        self.sizes, self.levels = [len(fps)], []
+        while len(pattern) > 1:
+            starts = np.arange(0, len(pattern), FANOUT)
+            all_on = np.bitwise_and.reduceat(pattern, starts)
+            any_on = np.bitwise_or.reduceat(pattern, starts)
+            above = np.bitwise_and.reduceat(mask, starts) & ~(all_on ^ any_on)
+            own = mask & ~np.repeat(above, FANOUT, axis=0)[: len(mask)]
+            more = np.zeros((-len(pattern) % FANOUT, words.shape[1]), np.uint64)
+            self.levels.append([[np.ascontiguousarray(x).reshape(-1, FANOUT) for x in np.concatenate([y, more]).T] for y in (pattern, own)])
+            pattern, mask = all_on & above, above
+            self.sizes.append(len(pattern))
+        self.top = pattern, mask
+
+    def search(self, queries: np.ndarray, most: int = LINK, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, place in ``fps``) of at most ``most`` differing bits.
+
+        With ``first`` the queries are the index's own from that place on, and only
+        pairs with a later place are given.
+        """
+        words = queries[:, None] if queries.ndim == 1 else queries
+        q = np.arange(len(queries) if len(self.fps) else 0)
+        node = np.zeros(len(q), np.int64)
+        sums = np.zeros(len(q), np.uint8)
+        if len(q):
+            pattern, mask = self.top
+            sums = np.bitwise_count((words ^ pattern) & mask).sum(axis=1, dtype=np.uint8)
         q, node, sums = (x[sums <= most] for x in (q, node, sums))
-        for level in range(top - 1, -1, -1):
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            parent, asks, sums = np.repeat(node, FANOUT), np.repeat(q, FANOUT), np.repeat(sums, FANOUT)
-            there = child < len(self.patterns[level])
-            child, parent, asks, sums = child[there], parent[there], asks[there], sums[there]
-            own = self.masks[level][child] & ~self.masks[level + 1][parent]  # what the parent has not compared
-            sums = sums + np.bitwise_count((queries[asks] ^ self.patterns[level][child]) & own)
-            near = sums <= most
-            q, node, sums = asks[near], child[near], sums[near]
+        words = np.ascontiguousarray(words.T)
+        for level in range(len(self.levels) - 1, -1, -1):
+            children = np.repeat(sums[:, None], FANOUT, axis=1)
+            for word, pattern, own in zip(words, *self.levels[level], strict=True):
+                children += np.bitwise_count((word[q][:, None] ^ pattern[node]) & own[node])
+            at, child = np.nonzero(children <= most)
+            q, node, sums = q[at], node[at] * FANOUT + child, children[at, child]
+            there = node < self.sizes[level]
+            if first is not None:
+                there &= (node + 1) * FANOUT**level > q + (first + 1)  # the node's last fingerprint is a later one
+            q, node, sums = q[there], node[there], sums[there]
+        if first is not None:
+            later = node > q + first  # a single fingerprint has no level
+            q, node = q[later], node[later]
         return q, node
 
 
@@ -195,9 +228,8 @@ def stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index = GrayIndex(fps)
     parent = np.arange(len(fps))
     for lo in range(0, len(fps), QUERIES_AT_ONCE):
-        q, at = index.search(index.fps[lo : lo + QUERIES_AT_ONCE])
-        later = at > q + lo
-        _union(parent, q[later] + lo, at[later])
+        q, at = index.search(index.fps[lo : lo + QUERIES_AT_ONCE], LINK, lo)
+        _union(parent, q + lo, at)
     linked = parent != np.arange(len(fps))
     return index.fps[linked], index.fps[parent[linked]]
 
@@ -277,15 +309,12 @@ def table_masks(texts: int) -> list[tuple[int, int]]:
 
 
 def near_pairs(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, likeness: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (later, earlier) of all pairs within ``RADIUS`` bits whose sizes allow the likeness, by runs of rows."""
-    step = max(1, 2**20 // max(1, len(hi)))
+    """All pairs of places within ``RADIUS`` bits whose sizes allow the likeness, each once, by runs of a :class:`GrayIndex`'s rows."""
+    index = GrayIndex(np.stack([hi, lo], axis=1))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(hi)))
     for at in range(0, len(hi), step):
-        rows = np.arange(at, min(at + step, len(hi)))
-        other = slice(0, rows[-1])
-        near = np.bitwise_count(hi[rows, None] ^ hi[other]) + np.bitwise_count(lo[rows, None] ^ lo[other]) <= RADIUS
-        near &= np.arange(rows[-1]) < rows[:, None]
-        x, y = np.nonzero(near)
-        x = rows[x]
+        x, y = index.search(index.fps[at : at + step], RADIUS, at)
+        x, y = index.order[x + at], index.order[y]
         fits = np.minimum(n[x], n[y]) + 1e-6 >= likeness * np.maximum(n[x], n[y])
         yield x[fits], y[fits]
 

@@ -64,6 +64,34 @@ def test_index_search():
     assert not len(m.GrayIndex(fps[:0]).search(fps)[0])
 
 
+def test_index_of_wide_fingerprints(monkeypatch):
+    """The pipeline's candidates are searched in Gray order from the top of an index over both words, which prunes groups."""
+    r = random.Random(11)
+    fps = [r.getrandbits(128) for _ in range(150)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(128), r.randint(1, 45))) for x in fps[:40] * 5] + [0, 1, 2**128 - 1, fps[0]]
+    hi, lo = (np.array([x >> shift & 2**64 - 1 for x in fps], np.uint64) for shift in (64, 0))
+
+    def place(x):
+        for shift in (1, 2, 4, 8, 16, 32, 64):
+            x ^= x >> shift
+        return x
+
+    index = m.GrayIndex(np.stack([hi, lo], axis=1))
+    assert [place(fps[i]) for i in index.order] == sorted(map(place, fps))
+    near = {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if (a ^ b).bit_count() <= m.RADIUS}
+    q, at = index.search(index.fps, m.RADIUS)
+    assert set(zip(index.order[q].tolist(), index.order[at].tolist())) == near and len(q) == len(near)
+    searches, search = [], m.GrayIndex.search
+    monkeypatch.setattr(m.GrayIndex, "search", lambda *a: searches.append(a) or search(*a))
+    monkeypatch.setattr(m, "PAIRS_AT_ONCE", 4096)
+    n = np.array([r.randint(60, 100) for _ in fps])
+    pairs = [(i, j) for x, y in m.near_pairs(hi, lo, n, 0.8) for i, j in zip(x.tolist(), y.tolist())]
+    want = {(i, j) for i, j in near if i < j and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-6}
+    assert sorted((min(p), max(p)) for p in pairs) == sorted(want) and len(searches) > 5
+    for few in (0, 1):
+        assert all(not len(x) for x, _ in m.near_pairs(hi[:few], lo[:few], n[:few], 0.8))
+
+
 def test_links_find_every_component(spark):
     r = random.Random(2)
     fps = cluster(r, 900) + [0, 2**64 - 1, 2**63]
