@@ -43,6 +43,8 @@ STEPS, DECAY = 60, 1e-4
 CELLS, BLOCK, COARSE, COARSE_MOST = 64, 256, 32, 256
 #: Rows that a task works on at a time, scores that the driver takes of each quantile, and results it adds up itself.
 ROWS, MANY, RESULTS = 16_384, 20_000, 64
+#: Bytes of rows that a file of a written table holds, where the cores alone don't make for more files.
+FILE_BYTES = 32 << 20
 
 #: Calls a function with features and labels of ever other training rows, and gives its results added up by key.
 Total = Callable[[Callable[[np.ndarray, np.ndarray], dict]], dict]
@@ -313,13 +315,21 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: Column, most
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("raw").alias("raw")).select("raw", "label", "doc_id")
 
 
+def files(spark: SparkSession, rows: int, width: int) -> int:
+    """How many files so many rows of ``width`` bytes go to, however many partitions a shuffle has: each file costs a task, and on local disks processes."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows * width // FILE_BYTES))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column) -> DataFrame:
     """x (features) and label of every row of ``docs`` that has a label and for whose doc_id ``fold`` holds."""
+    spark = docs.sparkSession
     known = labels.where(fold & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "quality")
-    known = durable(known.groupBy("doc_id").agg(F.min(F.col("quality").cast("bigint")).alias("label")), "quality-labels")
+    known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("bigint")).alias("label"))
+    known = durable(known.coalesce(files(spark, labels.count(), 16)), "quality-labels")
     texts = marked(docs.select("doc_id", text_bytes().alias("raw")), F.xxhash64("doc_id"), known.select(F.xxhash64("doc_id").alias("key")), "some").where("some")
     found = batch_map(texts, lambda: lambda raws: [(features(r).tolist(),) for r in raws], "x array<double>", ["doc_id"], ["raw"])
-    rows = durable(found.join(known, "doc_id").select("x", "label"), "quality-rows")
+    found = found.join(known, "doc_id").select("x", "label")
+    rows = durable(found.repartition(files(spark, known.count(), 8 * (len(features(b"")) + 1))), "quality-rows")
     release(known)
     return rows
 

@@ -152,6 +152,32 @@ def test_ranking_learns_from_every_labelled_row(spark, table, monkeypatch):
     assert np.isclose(got.threshold, np.quantile(got.raw(x), 1 - y.mean()))
 
 
+def test_files_of_training_rows_follow_rows(spark, monkeypatch):
+    """Many shuffle partitions that are not coalesced make no small files."""
+    from pyspark.sql import functions as F
+
+    made, write = {}, quality.durable
+    monkeypatch.setattr(quality, "durable", lambda df, name: made.update({name: write(df, name)}) or made[name])
+    monkeypatch.setattr(quality, "release", lambda df: None)
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    docs = spark.createDataFrame([(i % 900, f"word {i}") for i in range(1000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(950)], "doc_id bigint, quality int")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = quality.training_rows(docs, labels, F.lit(True))
+        assert rows.count() == 1000 and rows.agg(F.sum("label")).first()[0] == sum(i % 900 % 2 for i in range(1000))
+        assert made["quality-labels"].count() == 950
+        assert {name: len(df.inputFiles()) for name, df in made.items()} == {"quality-labels": 4, "quality-rows": 4}
+        monkeypatch.setattr(quality, "FILE_BYTES", 1 << 10)
+        assert quality.files(spark, 950, 16) == 15 and quality.files(spark, 10, 16) == 4
+        assert len(quality.training_rows(docs, labels, F.lit(True)).inputFiles()) > 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_ranking_slope_over_all_pairs_is_zero():
     random = np.random.default_rng(8)
     x = random.standard_normal((3000, 6))
