@@ -8,10 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DatetimeType, NumericType, StringType
 
 from tarnwater.session import table
 
 SHARD = "_shard"
+#: Rows for which a shard gets one more file, and a grouping one more task: what a task handles does not grow with the table.
+FILE_ROWS = 1 << 20
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
@@ -30,9 +34,26 @@ def with_shard(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def write_sharded(df: DataFrame, path: str, key: str, n: int) -> dict:
-    """Write ``n`` hash partitions as folders of one file each and return the manifest, which lies beside them."""
-    with_shard(df, key, n).repartition(n, SHARD).write.partitionBy(SHARD).mode("overwrite").parquet(path)
-    spark = df.sparkSession
+    """Write ``n`` hash partitions as folders and return the manifest, which lies beside them.
+
+    A folder holds one file, or one for each ``FILE_ROWS`` rows begun, to which
+    its rows are dealt by a hash of all their values.  A task writes one file as
+    its rows come: tasks of several shards would have to sort them in memory first.
+    """
+    spark, sharded = df.sparkSession, with_shard(df, key, n)
+    files = [1] * n
+    for r in sharded.groupBy(SHARD).count().collect():
+        files[r[SHARD]] = -(-r["count"] // FILE_ROWS)
+    firsts = [sum(files[:i]) for i in range(n)]
+    values = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if isinstance(f.dataType, (NumericType, StringType, DatetimeType, BinaryType))]
+    file = F.get(F.lit(firsts), F.col(SHARD)) + F.pmod(F.xxhash64(F.lit("file"), *values), F.get(F.lit(files), F.col(SHARD)))
+    dealt = sharded.repartitionById(sum(files), file.cast("int"))
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, "1")  # with none, Spark sorts the rows of a task by the folder even where it is one
+    try:
+        dealt.write.partitionBy(SHARD).mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
     rows = spark.read.parquet(path).groupBy(SHARD).count().collect()
     manifest = {"key": key, "shards": n, "rows": {str(r[SHARD]): r["count"] for r in sorted(rows)}}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.manifest")
@@ -68,8 +89,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _placement(sharded: DataFrame, key: str) -> list:
-    """Aggregates of shard and key: rows, keys, shards, keys of one shard only, and whether no shard holds 1.5 times its share."""
-    keys = sharded.groupBy(key).agg(F.count("*").alias("n"), F.min(SHARD).alias("low"), F.max(SHARD).alias("high"))
+    """Aggregates of shard and key: rows, keys, shards, keys of one shard only, and whether no shard holds 1.5 times its share.
+
+    Rows meet by key before they are grouped, as grouping what a scan reads would hold all keys of its part of a file.
+    """
+    tasks = max(sharded.sparkSession.sparkContext.defaultParallelism, -(-sharded.count() // FILE_ROWS))
+    keys = sharded.select(key, SHARD).repartition(tasks, key).groupBy(key).agg(F.count("*").alias("n"), F.min(SHARD).alias("low"), F.max(SHARD).alias("high"))
     shards = keys.groupBy("low").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.when(F.col("low") == F.col("high"), 1).otherwise(0)).alias("one"))
     return shards.agg(
         F.sum("n").alias("row_count"), F.sum("k").alias("key_count"), F.count("*").alias("shards"), F.sum("one").alias("keys_in_one_shard"),

@@ -99,6 +99,30 @@ def test_shards(spark, tmp_path):
         ingest.redistribute(spark, first, first, 3)
 
 
+def test_tasks_write_one_file_of_a_large_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_ROWS", 100, raising=False)
+    rows, path = spark.range(1000).selectExpr("id AS k", "id AS `v.w`", "map('a', id) AS m"), f"{tmp_path}/a.parquet"
+    runs = spark._jsparkSession.sharedState().statusStore()
+    manifest = ingest.write_sharded(rows, path, "k", 6)
+    files = {p.name: [f.name for f in p.iterdir() if f.suffix == ".parquet"] for p in (tmp_path / "a.parquet").iterdir() if p.is_dir()}
+    assert {s: len(f) for s, f in files.items()} == {f"{ingest.SHARD}={s}": -(-n // 100) for s, n in manifest["rows"].items()}
+    tasks = [f.split("-")[1] for names in files.values() for f in names]
+    assert len(set(tasks)) == len(tasks)
+    plans = [runs.executionsList().apply(i).physicalPlanDescription() for i in range(runs.executionsList().size())]
+    writes = [p for p in plans if path in p and "Execute InsertIntoHadoopFsRelationCommand" in p]
+    assert writes and not any("Sort" in p for p in writes) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back, _ = ingest.read_sharded(spark, path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_placement_groups_after_rows_met_by_key(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_ROWS", 100, raising=False)
+    placed = ingest._placement(ingest.with_shard(spark.range(2000).selectExpr("id % 1000 AS k", "id AS v"), "k", 6), "k")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k") == 1 and "20), REPARTITION_BY_NUM" in plan
+    assert placed.first() == (2000, 1000, 6, 1000, True)
+
+
 def test_refresh_sees_new_files(spark, tmp_path):
     engine, path = Engine(spark), f"{tmp_path}/t.parquet"
     spark.range(3).write.parquet(path)
